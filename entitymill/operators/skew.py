@@ -1,0 +1,64 @@
+"""Finding groups too large for one task, and checked small lookups."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from entitymill.functions.scalar import named
+
+# A group beyond this many rows is cut into ordered chunks instead of being
+# sorted by one task.
+HOT_ROWS = 1_000_000
+# Larger groups first; any group past this many is under 1/1000 of the rows.
+MAX_HOT_GROUPS = 1_000
+# Lookup tables up to this many rows are collected once and broadcast.
+SMALL_ROWS = 100_000
+
+
+def hot_groups(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> dict:
+    """Keys that own more than ``hot_rows`` rows, with their row counts.
+
+    Counting is combined on the map side and at most ``MAX_HOT_GROUPS`` rows
+    reach the driver. The answer only steers how work is split, not results.
+    """
+    heavy = (
+        df.filter(named(key).isNotNull())
+        .groupBy(named(key).alias("key"))
+        .count()
+        .filter(F.col("count") > hot_rows)
+        .orderBy(F.desc("count"))
+        .limit(MAX_HOT_GROUPS)
+    )
+    return {row["key"]: row["count"] for row in heavy.collect()}
+
+
+def split_by_keys(df: DataFrame, key: str, keys) -> tuple[DataFrame, DataFrame]:
+    """Rows of the other keys, and rows of ``keys``; rows without a key go."""
+    chosen = named(key).isin(list(keys))
+    return df.filter(~chosen), df.filter(chosen)
+
+
+def ordered_chunks(df: DataFrame, by: list, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``_chunk``: numbers that rise with ``by``, each for at most about
+    ``hot_rows`` rows.
+
+    Range partitioning splits a single group across tasks as long as ``by``
+    orders its rows. The number comes from the partition that holds the row, so
+    a plan must use the result once; to use it twice, checkpoint it first.
+    """
+    parts = max(2, -(-rows // hot_rows))
+    return df.repartitionByRange(parts, *by).withColumn("_chunk", F.spark_partition_id())
+
+
+def small_or_shuffled(lookup: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """A lookup marked for broadcast if it is proven small, else left as it is.
+
+    The rows of a small lookup are fetched once and reused, so that its source
+    is not read again by the join.
+    """
+    rows = lookup.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return lookup
+    spark = lookup.sparkSession
+    return F.broadcast(spark.createDataFrame(rows, schema=lookup.schema))

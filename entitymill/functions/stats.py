@@ -32,12 +32,14 @@ def skew(x: Column) -> Column:
 def stat(name: str, x: Column, subset: Column | None = None) -> Column:
     """Aggregate expression for statistic ``name`` of a numeric column."""
     if name == "size":
-        rows = F.count(F.lit(1)) if subset is None else F.count(F.when(subset, 1))
-        return _unless_empty(rows, subset)
+        if subset is None:
+            return F.count(F.lit(1))
+        return _unless_empty(F.count(F.when(subset, 1)).cast("double"), subset)
     if subset is not None:
         x = F.when(subset, x)
     if name == "nunique":
-        return _unless_empty(F.count_distinct(x), subset)
+        distinct = F.count_distinct(x)
+        return distinct if subset is None else _unless_empty(distinct.cast("double"), subset)
     if name == "sum":
         return _unless_empty(F.coalesce(no_nan(F.sum(x.cast("double"))), _zero_sum(x)), subset)
     x = x.cast("double")

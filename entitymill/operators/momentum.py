@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from entitymill.functions.scalar import minus, named, no_nan, num, ratio
 from entitymill.operators.aggregate import Spec, entity_agg, share_columns, stat_columns
 from entitymill.operators.attach import attach
+from entitymill.operators.ordered import chunk_by_order
 from entitymill.operators.skew import HOT_ROWS, hot_groups, ordered_chunks, split_by_keys
 
 CHANGES = ("DIFF", "PCT")
@@ -101,8 +102,8 @@ def _mark_global_final(df: DataFrame, key: str, m: Momentum) -> DataFrame:
     return joined.drop("_latest").withColumn("_is_latest", F.col("_is_latest").isNotNull())
 
 
-def _with_changes(df: DataFrame, within: Sequence[str], m: Momentum) -> DataFrame:
-    """Add per record: difference, percent change and last known value."""
+def _lagged(df: DataFrame, within: Sequence[str], m: Momentum) -> DataFrame:
+    """Add per record and column: the previous value and the last one known."""
     w = Window.partitionBy(*[named(c) for c in within]).orderBy(*[named(c) for c in m.order_by])
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     lagged = []
@@ -112,14 +113,11 @@ def _with_changes(df: DataFrame, within: Sequence[str], m: Momentum) -> DataFram
             F.lag(x).over(w).alias(f"_prev{i}"),
             F.last(x, ignorenulls=True).over(earlier).alias(f"_before{i}"),
         ]
-    newest = Window.partitionBy(*[named(c) for c in within])
-    df = df.select("*", *lagged, F.max(named(m.account)).over(newest).alias("_newest"))
-    final = (
-        F.col("_is_latest")
-        if m.scope == "global"
-        else F.coalesce(named(m.account) == F.col("_newest"), F.lit(False))
-    )
-    changes = [final.alias("_final")]
+    return df.select("*", *lagged)
+
+
+def _changes(m: Momentum) -> list[Column]:
+    changes = []
     for i, f in enumerate(m.features):
         known = F.coalesce(num(f), F.col(f"_before{i}"))
         changes += [
@@ -127,7 +125,19 @@ def _with_changes(df: DataFrame, within: Sequence[str], m: Momentum) -> DataFram
             minus(f, f"_prev{i}").alias(f"_DIFF{i}"),
             no_nan(ratio(known, f"_before{i}") - 1).alias(f"_PCT{i}"),
         ]
-    return df.select("*", *changes)
+    return changes
+
+
+def _with_changes(df: DataFrame, within: Sequence[str], m: Momentum) -> DataFrame:
+    """Add per record: both changes, and whether its account is the latest."""
+    group = Window.partitionBy(*[named(c) for c in within])
+    rows = _lagged(df, within, m).withColumn("_newest", F.max(named(m.account)).over(group))
+    final = (
+        F.col("_is_latest")
+        if m.scope == "global"
+        else F.coalesce(named(m.account) == F.col("_newest"), F.lit(False))
+    )
+    return rows.select("*", final.alias("_final"), *_changes(m))
 
 
 def _one_pass(df, key, spec, m, prefix, subsets, categories, extra) -> DataFrame:
@@ -243,3 +253,56 @@ def _stitch(per_chunk: DataFrame, key: str, m: Momentum) -> DataFrame:
             ).alias(f"{m.prefix}{f}_PCT_FIN"),
         ]
     return chunks.groupBy(named(key)).agg(*out)
+
+
+def row_changes(
+    df: DataFrame, key: str, m: Momentum, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Per record: difference and percent change of every followed column."""
+    df = df.filter(named(key).isNotNull())
+    hot = hot_groups(df, key, hot_rows)
+    if hot:
+        cold, large = split_by_keys(df, key, hot)
+        rows = _lagged(cold, [key], m).unionByName(_lagged_in_chunks(large, key, m))
+    else:
+        rows = _lagged(df, [key], m)
+    return rows.select("*", *_changes(m)).select(
+        *[named(c) for c in df.columns],
+        *[
+            F.col(f"_{change}{i}").alias(f"{m.prefix}{f}_{change}")
+            for i, f in enumerate(m.features)
+            for change in CHANGES
+        ],
+    )
+
+
+def _lagged_in_chunks(df: DataFrame, key: str, m: Momentum) -> DataFrame:
+    """``_lagged`` for large entities: chunks take over their start values."""
+    chunks = chunk_by_order(df, [key, *m.order_by])
+    order = F.struct(*[named(c) for c in m.order_by])
+    ends, starts = [], []
+    w = Window.partitionBy("_k").orderBy("_c")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    for i, f in enumerate(m.features):
+        x = num(f)
+        ends += [
+            F.max_by(x, order).alias(f"_end{i}"),
+            F.max_by(x, F.when(x.isNotNull(), order)).alias(f"_end_known{i}"),
+        ]
+        starts += [
+            F.lag(f"_end{i}").over(w).alias(f"_border{i}"),
+            F.last(f"_end_known{i}", ignorenulls=True).over(earlier).alias(f"_carry{i}"),
+        ]
+    ends = chunks.groupBy(named(key).alias("_k"), F.col("_chunk").alias("_c")).agg(*ends)
+    starts = ends.select("_k", "_c", *starts)
+    inside = Window.partitionBy(named(key), "_chunk").orderBy(*[named(c) for c in m.order_by])
+    rows = _lagged(chunks, [key, "_chunk"], m).withColumn("_row", F.row_number().over(inside))
+    rows = rows.join(starts, (named(key) == F.col("_k")) & (F.col("_chunk") == F.col("_c")))
+    filled = []
+    for i in range(len(m.features)):
+        previous = F.when(F.col("_row") == 1, F.col(f"_border{i}")).otherwise(F.col(f"_prev{i}"))
+        filled += [
+            previous.alias(f"_prev{i}"),
+            F.coalesce(F.col(f"_before{i}"), F.col(f"_carry{i}")).alias(f"_before{i}"),
+        ]
+    return rows.select(*[named(c) for c in df.columns], *filled)

@@ -10,54 +10,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from entitymill.functions.scalar import no_nan
+from entitymill.functions.scalar import sql_name, sql_no_nan
 
-# Statistics that only need fixed-width, partially aggregated buffers.
+# All but the distinct count need only fixed-width, partially combined buffers.
 STATS = ("mean", "sum", "min", "max", "var", "std", "skew", "size", "nunique")
+# Values that differ by no more than rounding noise count as constant.
+NOISE = "1e-12"
 
 
-def _unless_empty(value: Column, subset: Column | None) -> Column:
-    if subset is None:
-        return value
-    return F.when(F.count(F.when(subset, 1)) > 0, value)
-
-
-def skew(x: Column) -> Column:
+def _skew(x: str) -> str:
     """Bias-corrected skewness: under three values NULL, constant values 0."""
-    n = F.count(x).cast("double")
-    corrected = F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-    return F.when(n >= 3, F.when(F.min(x) == F.max(x), 0.0).otherwise(no_nan(corrected)))
-
-
-def stat(name: str, x: Column, subset: Column | None = None) -> Column:
-    """Aggregate expression for statistic ``name`` of a numeric column."""
+    n, g, low, high = f"double(count({x}))", f"skewness({x})", f"min({x})", f"max({x})"
+    constant = f"{high} - {low} <= {NOISE} * greatest(abs({high}), abs({low}))"
+    return (
+        f"CASE WHEN {n} >= 3 AND NOT coalesce(isnan({g}), false) THEN CASE WHEN {constant} THEN 0D"
+        f" ELSE {g} * sqrt({n} * ({n} - 1)) / nullif({n} - 2, 0) END END"
+    )
+
+
+def sql_stat(name: str, column: str, subset: str | None = None) -> str:
+    """SQL text of the aggregate; ``column`` and ``subset`` are SQL text too."""
+    guard = "" if subset is None else f"count(CASE WHEN {subset} THEN 1 END)"
+    x = column if subset is None else f"CASE WHEN {subset} THEN {column} END"
     if name == "size":
-        if subset is None:
-            return F.count(F.lit(1))
-        return _unless_empty(F.count(F.when(subset, 1)).cast("double"), subset)
-    if subset is not None:
-        x = F.when(subset, x)
+        return "count(1)" if subset is None else f"double(nullif({guard}, 0))"
     if name == "nunique":
-        distinct = F.count_distinct(x)
-        return distinct if subset is None else _unless_empty(distinct.cast("double"), subset)
+        distinct = f"count(DISTINCT {x})"
+        return distinct if subset is None else f"CASE WHEN {guard} > 0 THEN double({distinct}) END"
+    x = f"double({x})"
     if name == "sum":
-        return _unless_empty(F.coalesce(no_nan(F.sum(x.cast("double"))), _zero_sum(x)), subset)
-    x = x.cast("double")
-    if name == "mean":
-        return no_nan(F.avg(x))
-    if name == "min":
-        return F.min(x)
-    if name == "max":
-        return F.max(x)
-    if name == "var":
-        return no_nan(F.var_samp(x))
-    if name == "std":
-        return no_nan(F.stddev_samp(x))
+        # 0 where nothing was there to sum, NULL where the sum is undefined.
+        e = f"coalesce({sql_no_nan(f'sum({x})')}, CASE WHEN count({x}) = 0 THEN 0D END)"
+        return e if subset is None else f"CASE WHEN {guard} > 0 THEN {e} END"
+    plain = {"mean": "avg", "var": "var_samp", "std": "stddev_samp"}
+    if name in plain:
+        return sql_no_nan(f"{plain[name]}({x})")
+    if name in ("min", "max"):
+        return f"{name}({x})"
     if name == "skew":
-        return skew(x)
+        return _skew(x)
     raise ValueError(f"unknown statistic {name!r}; known: {', '.join(STATS)}")
 
 
-def _zero_sum(x: Column) -> Column:
-    """0 where nothing was summed; NULL where the sum itself was undefined."""
-    return F.when(F.count(x) == 0, F.lit(0.0))
+def stat(name: str, column: str, subset: str | None = None) -> Column:
+    """Statistic of a named column, over the rows of ``subset`` (SQL text)."""
+    return F.expr(sql_stat(name, sql_name(column), subset))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitymill.functions.scalar import named, no_nan, num, ratio
+from entitymill.functions.scalar import named, no_nan, ratio
 from entitymill.functions.stats import stat
-from entitymill.operators.encode import MISSING, category_column
+from entitymill.operators.encode import category_column, in_category
 
 Spec = Mapping[str, Sequence[str]]
 
@@ -20,10 +19,10 @@ def by_stats(groups: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
     return {c: stats.split() for stats, cols in groups.items() for c in cols}
 
 
-def stat_columns(spec: Spec, prefix: str = "", subset: Column | None = None) -> list[Column]:
+def stat_columns(spec: Spec, prefix: str = "", subset: str | None = None) -> list[Column]:
     """Aggregate expressions named ``PREFIX`` + column + ``_`` + STATISTIC."""
     return [
-        stat(s, named(c), subset).alias(f"{prefix}{c}_{s.upper()}")
+        stat(s, c, subset).alias(f"{prefix}{c}_{s.upper()}")
         for c, stats in spec.items()
         for s in stats
     ]
@@ -32,7 +31,7 @@ def stat_columns(spec: Spec, prefix: str = "", subset: Column | None = None) ->
 def share_columns(categories: Mapping[str, Sequence], prefix: str = "") -> list[Column]:
     """Share of an entity's rows in each category; all rows count below."""
     return [
-        F.avg(F.when(_in_category(c, value), 1.0).otherwise(0.0)).alias(
+        F.expr(f"avg(CASE WHEN {in_category(c, value)} THEN 1D ELSE 0D END)").alias(
             f"{prefix}{category_column(c, value)}_MEAN"
         )
         for c, values in categories.items()
@@ -40,23 +39,19 @@ def share_columns(categories: Mapping[str, Sequence], prefix: str = "") -> list[
     ]
 
 
-def _in_category(c: str, value) -> Column:
-    return named(c).isNull() if value is MISSING else named(c).eqNullSafe(F.lit(value))
-
-
 def entity_agg(
     df: DataFrame,
     key: str,
     spec: Spec,
     prefix: str = "",
-    subsets: Mapping[str, Column] | None = None,
+    subsets: Mapping[str, str] | None = None,
     categories: Mapping[str, Sequence] | None = None,
     extra: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per entity with every statistic of ``spec``.
 
-    ``subsets`` maps further prefixes to row conditions: the same statistics
-    over those rows only, in the same pass. ``categories`` adds category shares.
+    ``subsets`` maps further prefixes to row conditions in SQL: the same
+    statistics over those rows only, in the same pass. ``categories`` adds category shares.
     Rows without a key are left out.
     """
     columns = stat_columns(spec, prefix)
@@ -133,7 +128,3 @@ def two_level(
     ]
     spec = {**parent_spec, **{c: ["mean"] for c in shares}}
     return entity_agg(attach(parent, per_parent, child_key), parent_key, spec, prefix)
-
-
-def total(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, [num(c) for c in columns])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from entitymill.functions.scalar import named
+from entitymill.functions.scalar import named, sql_name, sql_value
 from entitymill.operators.ordered import prefix_sums
 from entitymill.operators.skew import SMALL_ROWS
 
@@ -30,6 +30,12 @@ def category_column(column: str, value) -> str:
     return f"{column}_nan" if value is MISSING else f"{column}_{value}"
 
 
+def in_category(column: str, value) -> str:
+    """SQL condition: the row belongs to the category."""
+    c = sql_name(column)
+    return f"{c} IS NULL" if value is MISSING else f"{c} <=> {sql_value(value)}"
+
+
 def find_categories(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -75,8 +81,7 @@ def one_hot(
     new = {}
     for c, values in categories.items():
         for v in values:
-            hit = named(c).isNull() if v is MISSING else named(c).eqNullSafe(F.lit(v))
-            new[category_column(c, v)] = hit.cast("int")
+            new[category_column(c, v)] = F.expr(f"int({in_category(c, v)})")
     kept = [named(c) for c in df.columns if c not in categories]
     return df.select(*kept, *[e.alias(n) for n, e in new.items()]), list(new)
 
@@ -123,10 +128,3 @@ def factorize(
         )
         df = df.drop("_value", "_code")
     return df
-
-
-def first_appearance_order(df: DataFrame, column: str, order_by: Sequence[str]) -> DataFrame:
-    """Distinct values with their first-appearance code (small tables only)."""
-    firsts = _first_seen(df, [column], order_by)
-    code = F.row_number().over(Window.partitionBy("column").orderBy("first")) - 1
-    return firsts.select("value", code.alias("code"))

@@ -18,7 +18,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitymill.functions.scalar import minus, named, no_nan, num, ratio
+from entitymill.functions.scalar import (
+    minus,
+    named,
+    no_nan,
+    num,
+    ratio,
+    sql_name,
+    sql_no_nan,
+    sql_num,
+    sql_ratio,
+)
 from entitymill.operators.aggregate import Spec, entity_agg, share_columns, stat_columns
 from entitymill.operators.attach import attach
 from entitymill.operators.ordered import chunk_by_order
@@ -66,7 +76,7 @@ def entity_features(
     spec: Spec,
     m: Momentum,
     prefix: str = "",
-    subsets: Mapping[str, Column] | None = None,
+    subsets: Mapping[str, str] | None = None,
     categories: Mapping[str, Sequence] | None = None,
     extra: Sequence[Column] = (),
     hot_rows: int = HOT_ROWS,
@@ -104,14 +114,14 @@ def _mark_global_final(df: DataFrame, key: str, m: Momentum) -> DataFrame:
 
 def _lagged(df: DataFrame, within: Sequence[str], m: Momentum) -> DataFrame:
     """Add per record and column: the previous value and the last one known."""
-    w = Window.partitionBy(*[named(c) for c in within]).orderBy(*[named(c) for c in m.order_by])
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    keys = ", ".join(sql_name(c) for c in within)
+    w = f"PARTITION BY {keys} ORDER BY {', '.join(sql_name(c) for c in m.order_by)}"
+    earlier = f"{w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     lagged = []
     for i, f in enumerate(m.features):
-        x = num(f)
         lagged += [
-            F.lag(x).over(w).alias(f"_prev{i}"),
-            F.last(x, ignorenulls=True).over(earlier).alias(f"_before{i}"),
+            F.expr(f"lag({sql_num(f)}) OVER ({w})").alias(f"_prev{i}"),
+            F.expr(f"last({sql_num(f)}, true) OVER ({earlier})").alias(f"_before{i}"),
         ]
     return df.select("*", *lagged)
 
@@ -119,11 +129,12 @@ def _lagged(df: DataFrame, within: Sequence[str], m: Momentum) -> DataFrame:
 def _changes(m: Momentum) -> list[Column]:
     changes = []
     for i, f in enumerate(m.features):
-        known = F.coalesce(num(f), F.col(f"_before{i}"))
+        known = f"coalesce({sql_num(f)}, _before{i})"
+        percent = sql_no_nan(f"{sql_ratio(known, f'_before{i}')} - 1")
         changes += [
-            known.alias(f"_known{i}"),
+            F.expr(known).alias(f"_known{i}"),
             minus(f, f"_prev{i}").alias(f"_DIFF{i}"),
-            no_nan(ratio(known, f"_before{i}") - 1).alias(f"_PCT{i}"),
+            F.expr(percent).alias(f"_PCT{i}"),
         ]
     return changes
 
@@ -147,11 +158,11 @@ def _one_pass(df, key, spec, m, prefix, subsets, categories, extra) -> DataFrame
         columns += stat_columns(spec, sub_prefix, condition)
     columns += share_columns(categories or {}, prefix) + list(extra)
     for i, f in enumerate(m.features):
-        for part, rows in (("MEAN", None), ("FIN", F.col("_final"))):
-            for change in CHANGES:
-                x = F.col(f"_{change}{i}")
-                x = x if rows is None else F.when(rows, x)
-                columns.append(no_nan(F.avg(x)).alias(f"{m.prefix}{f}_{change}_{part}"))
+        for change in CHANGES:
+            x = f"_{change}{i}"
+            for part, rows in (("MEAN", x), ("FIN", f"CASE WHEN _final THEN {x} END")):
+                mean = F.expr(sql_no_nan(f"avg({rows})"))
+                columns.append(mean.alias(f"{m.prefix}{f}_{change}_{part}"))
     return records.groupBy(named(key)).agg(*columns)
 
 

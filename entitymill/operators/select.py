@@ -11,7 +11,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitymill.functions.scalar import blank_infinite, is_infinite, named, num
+from entitymill.functions.scalar import blank_infinite, is_infinite, named
 from entitymill.operators.aggregate import null_shares
 from entitymill.operators.clean import numeric_columns
 
@@ -106,7 +106,3 @@ def select_features(
     if missing is not None:
         gone.update(missing_columns(df, missing))
     return df.select(*[named(c) for c in df.columns if c in keep or c not in gone])
-
-
-def as_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[num(c).alias(c) for c in columns])

@@ -59,20 +59,22 @@ def cte(table: str, columns: Mapping[str, str]) -> str:
 
 # Below this, noise around zero would still show in seven digits.
 TINY = 0.001
+# Moves exact decimals away from the point where seven digits round either way.
+NUDGE = 1.00000000003
 
 
 def stable(df: DataFrame) -> DataFrame:
     """Doubles cut to about seven digits, so that summation order cannot show."""
 
     def cut(x):
-        short = x.cast("float").cast("double")
+        short = (x * NUDGE).cast("float").cast("double")
         return F.when(F.abs(x) < TINY, F.round(x, 6) + 0.0).otherwise(short)
 
     return df.select(*[(cut(named(c)) if t == "double" else named(c)).alias(c) for c, t in df.dtypes])
 
 
 def stable_sql(e: str) -> str:
-    short = f"cast(cast({e} as float) as double)"
+    short = f"cast(cast({e} * {NUDGE}::double as float) as double)"
     return f"(case when abs({e}) < {TINY} then round({e}, 6) + 0.0::double else {short} end)"
 
 

@@ -6,13 +6,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitymill.functions.scalar import blend_of, named, num, to_binary_ends
 from entitymill.operators.attach import join_predictions
 from entitymill.operators.metrics import roc_auc, score_table
 from entitymill.operators.ordered import pick_quantiles, prefix_sums
+from entitymill.sources.staging import cut_lineage
 
 # The quantile levels tried on either side.
 LOW_LEVELS = (0.0, 0.10001, 0.0001)
@@ -48,22 +49,19 @@ def threshold_scan(
     """
     grid = list(grid) if grid is not None else levels(*(LOW_LEVELS if side == "low" else HIGH_LEVELS))
     table = score_table(df, label, score).withColumn("n", F.col("pos") + F.col("neg"))
-    ranked = prefix_sums(
-        table,
-        [],
-        ["score"],
-        {"n_before": F.col("n"), "pos_before": F.col("pos"), "neg_before": F.col("neg")},
-        keep_chunk=True,
-    )
-    won = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
-    ranked = _running_won(ranked.withColumn("won", won))
-    _check_range(ranked)
-    payload = ["pos", "neg", "won", "pos_before", "neg_before", "won_before"]
-    points = pick_quantiles(ranked, [], "score", "n", "n_before", grid, [*payload, "score"])
-    total = ranked.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum("won").alias("u"))
-    # One row of totals; the grid has a fixed number of rows.
-    totals = total.first()
-    p, q, u = (F.lit(float(totals[c] or 0)) for c in ("p", "q", "u"))
+    sums = {"n_before": F.col("n"), "pos_before": F.col("pos"), "neg_before": F.col("neg")}
+    ranked = _running_won(prefix_sums(table, [], ["score"], sums, keep_chunk=True))
+    ranked = cut_lineage(ranked)
+    ends = ranked.agg(
+        F.min("score").alias("lo"), F.max("score").alias("hi"),
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+    ).first()
+    if ends["lo"] is not None and (ends["lo"] < 0 or ends["hi"] > 1):
+        raise ValueError(f"scores must lie in [0, 1], found {ends['lo']} to {ends['hi']}")
+    p, q = (F.lit(float(ends[c] or 0)) for c in ("pos", "neg"))
+    payload = ["score", "pos", "neg", "won", "pos_before", "neg_before", "won_before", "won_all"]
+    points = pick_quantiles(ranked, [], "score", "n", "n_before", grid, payload)
+    u = F.col("won_all_lo")
 
     def upto(name: str):
         """Running total over the scores that do not pass the threshold."""
@@ -83,25 +81,24 @@ def threshold_scan(
 
 
 def _running_won(ranked: DataFrame) -> DataFrame:
-    """Running won pairs, from per-row values that already count globally."""
-    from pyspark.sql import Window
-
+    """Add won pairs per score, their sum over lower scores, and over all."""
+    won = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
+    rows = ranked.withColumn("won", won)
     inside = Window.partitionBy("_chunk").orderBy("score")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(F.lit(0)).orderBy("_c")
-    offsets = ranked.groupBy(F.col("_chunk").alias("_c")).agg(F.sum("won").alias("_won"))
-    offsets = offsets.select("_c", (F.sum("_won").over(across) - F.col("_won")).alias("_off"))
-    rows = ranked.withColumn("_in", F.coalesce(F.sum("won").over(before), F.lit(0.0)))
-    rows = rows.join(offsets, F.col("_chunk") == F.col("_c"))
+    chunks = Window.partitionBy(F.lit(0))
+    offsets = rows.groupBy(F.col("_chunk").alias("_c")).agg(F.sum("won").alias("_won"))
+    offsets = offsets.select(
+        "_c",
+        (F.sum("_won").over(chunks.orderBy("_c")) - F.col("_won")).alias("_off"),
+        F.sum("_won").over(chunks).alias("won_all"),
+    )
+    rows = rows.withColumn("_in", F.coalesce(F.sum("won").over(before), F.lit(0.0)))
+    # One row per chunk, so at most as many as there are shuffle partitions.
+    rows = rows.join(F.broadcast(offsets), F.col("_chunk") == F.col("_c"))
     return rows.withColumn("won_before", F.col("_in") + F.col("_off")).drop("_in", "_off", "_c")
 
 
-def _check_range(ranked: DataFrame) -> None:
-    ends = ranked.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
-    if ends["lo"] is not None and (ends["lo"] < 0 or ends["hi"] > 1):
-        raise ValueError(f"scores must lie in [0, 1], found {ends['lo']} to {ends['hi']}")
-
-
 @dataclass(frozen=True)
 class Cutoffs:
     low_level: float | None

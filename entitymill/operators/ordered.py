@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitymill.functions.scalar import named, no_nan, num
+from entitymill.functions.scalar import named, no_nan, num, sql_value
 from entitymill.operators.skew import HOT_ROWS, hot_groups, split_by_keys
 from entitymill.sources.staging import cut_lineage
 
@@ -90,11 +90,9 @@ def group_quantiles(
 
 
 def _plain_quantiles(df, groups, value, levels) -> DataFrame:
-    levels = [float(q) for q in levels]
-    quantiles = F.percentile(num(value), F.array(*[F.lit(q) for q in levels]))
-    pairs = F.arrays_zip(
-        F.array(*[F.lit(q) for q in levels]).alias("level"), F.col("_q").alias("quantile")
-    )
+    grid = _double_array(levels)
+    quantiles = F.percentile(num(value), grid)
+    pairs = F.arrays_zip(grid.alias("level"), F.col("_q").alias("quantile"))
     rows = df.groupBy(*[named(g) for g in groups]).agg(quantiles.alias("_q"))
     return rows.select(*[named(g) for g in groups], F.explode(pairs).alias("_p")).select(
         *[named(g) for g in groups],
@@ -103,12 +101,16 @@ def _plain_quantiles(df, groups, value, levels) -> DataFrame:
     )
 
 
+def _double_array(values: Sequence[float]) -> Column:
+    return F.expr(f"array({', '.join(sql_value(float(v)) for v in values)})")
+
+
 def _ranked_quantiles(df, groups, value, levels) -> DataFrame:
     counts = df.groupBy(*[named(g) for g in groups], num(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_n")
     )
     ranked = prefix_sums(counts, groups, ["_v"], {"_before": F.col("_n")}, keep_chunk=True)
-    return pick_quantiles(ranked, groups, "_v", "_n", "_before", levels)
+    return pick_quantiles(cut_lineage(ranked), groups, "_v", "_n", "_before", levels)
 
 
 def pick_quantiles(
@@ -122,50 +124,45 @@ def pick_quantiles(
 ) -> DataFrame:
     """Quantiles from distinct values with their counts and running counts.
 
-    ``ranked`` comes from ``prefix_sums(..., keep_chunk=True)``. The positions asked for are looked up by interval: each distinct value
+    ``ranked`` comes from ``prefix_sums(..., keep_chunk=True)`` and should be
+    checkpointed, as it is read three times. The positions asked for are looked up by interval: each distinct value
     covers the ranks ``before <= rank < before + count``. ``payload`` columns
     of the two bounding values come along as ``<name>_lo`` and ``<name>_hi``.
     """
     by = [named(g) for g in groups]
-    literal = F.array(*[F.lit(float(q)) for q in levels])
     totals = ranked.groupBy(*by).agg(F.sum(count).alias("_rows"))
     asked = totals.select(
         *by,
         F.transform(
-            literal, lambda q: F.struct(q.alias("level"), (q * (F.col("_rows") - 1)).alias("_pos"))
+            _double_array(levels),
+            lambda q: F.struct(q.alias("level"), (q * (F.col("_rows") - 1)).alias("_pos")),
         ).alias("_all"),
     )
-    # Only chunks whose ranks hold a bounding position are read further, each
-    # with its own short list of positions.
+    # The chunk that covers each bounding rank; other chunks are not read again.
     spans = ranked.groupBy(*by, "_chunk").agg(
         F.min(before).alias("_from"), F.max(named(before) + named(count)).alias("_to")
     )
-    spans = _same_group(spans, asked, groups)
-    within = lambda r: (r >= F.col("_from")) & (r < F.col("_to"))
-    spans = spans.select(
-        *by,
-        "_chunk",
-        F.filter(
-            "_all", lambda s: within(F.floor(s["_pos"])) | within(F.ceil(s["_pos"]))
-        ).alias("_levels"),
-    ).filter(F.size("_levels") > 0)
-    covered = ranked.join(spans, [*groups, "_chunk"], "inner")
-    lo, hi = F.floor("_l._pos").cast("long"), F.ceil("_l._pos").cast("long")
-    inside = lambda r: (r >= named(before)) & (r < named(before) + named(count))
-    covered = covered.filter(
-        F.exists("_levels", lambda s: inside(F.floor(s["_pos"])) | inside(F.ceil(s["_pos"])))
+    sides = F.array(
+        F.struct(F.lit("lo").alias("_side"), F.floor("_l._pos").alias("_at")),
+        F.struct(F.lit("hi").alias("_side"), F.ceil("_l._pos").alias("_at")),
     )
-    hits = covered.withColumn("_l", F.explode("_levels")).select(
-        *by,
-        F.col("_l.level").alias("level"),
-        F.col("_l._pos").alias("_pos"),
-        inside(lo).alias("_is_lo"),
-        inside(hi).alias("_is_hi"),
-        named(value).alias("_value"),
-        *[named(p) for p in payload],
+    wanted = (
+        _same_group(spans, asked, groups)
+        .select(*by, "_chunk", "_from", "_to", F.explode("_all").alias("_l"))
+        .select(*by, "_chunk", "_from", "_to", "_l.*", F.inline(sides))
+        .filter((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
+        .select(*by, "_chunk", "_at", "level", "_pos", "_side")
     )
-    hits = hits.filter(F.col("_is_lo") | F.col("_is_hi"))
-    pick = lambda c, side: F.max(F.when(F.col(f"_is_{side}"), F.col(c)))
+    # Ranks and values in one order: a rank belongs to the last value before it.
+    values = ranked.join(wanted.select(*by, "_chunk").distinct(), [*groups, "_chunk"], "left_semi")
+    row = F.struct(named(value).alias("_value"), *[named(p) for p in payload]).alias("_row")
+    values = values.select(*by, "_chunk", named(before).alias("_at"), row)
+    lined_up = values.unionByName(wanted, allowMissingColumns=True)
+    is_rank = F.col("_side").isNotNull()
+    w = Window.partitionBy(*by, "_chunk").orderBy("_at", is_rank)
+    w = w.rowsBetween(Window.unboundedPreceding, 0)
+    hits = lined_up.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).filter(is_rank)
+    pick = lambda c, side: F.max(F.when(F.col("_side") == side, F.col(f"_row.{c}")))
     grid = hits.groupBy(*by, "level", "_pos").agg(
         pick("_value", "lo").alias("_lo"),
         pick("_value", "hi").alias("_hi"),

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitymill.functions.scalar import named
+from entitymill.functions.scalar import named, sql_name
 from entitymill.sources.staging import shared_dir
 
 
@@ -63,19 +63,25 @@ TINY = 0.001
 NUDGE = 1.00000000003
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Doubles cut to about seven digits, so that summation order cannot show."""
+def _cut(x: str, float_type: str, nudge: str, zero: str) -> str:
+    short = f"cast(cast({x} * {nudge} as {float_type}) as double)"
+    return f"(case when abs({x}) < {TINY} then round({x}, 6) + {zero} else {short} end)"
 
-    def cut(x):
-        short = (x * NUDGE).cast("float").cast("double")
-        return F.when(F.abs(x) < TINY, F.round(x, 6) + 0.0).otherwise(short)
 
-    return df.select(*[(cut(named(c)) if t == "double" else named(c)).alias(c) for c, t in df.dtypes])
+def stable(df: DataFrame) -> DataFrame:
+    """Doubles cut to about seven digits, so that summation order cannot show."""
+    return df.select(
+        *[
+            F.expr(_cut(sql_name(c), "float", f"{NUDGE}D", "0D")).alias(c)
+            if t == "double"
+            else named(c)
+            for c, t in df.dtypes
+        ]
+    )
 
 
 def stable_sql(e: str) -> str:
-    short = f"cast(cast({e} * {NUDGE}::double as float) as double)"
-    return f"(case when abs({e}) < {TINY} then round({e}, 6) + 0.0::double else {short} end)"
+    return _cut(f"({e})", "float", f"{NUDGE}::double", "0.0::double")
 
 
 def stable_columns(columns) -> str:

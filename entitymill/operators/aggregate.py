@@ -77,10 +77,21 @@ def null_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return shares.select(F.inline(pairs))
 
 
-def mean_ratio(df: DataFrame, a: str | Column, b: str | Column, default: float = 0.5) -> float:
-    """Mean of ``a / b`` over the rows where it is defined, else ``default``."""
-    value = df.agg(no_nan(F.avg(ratio(a, b))).alias("m")).first()["m"]
-    return default if value is None else value
+def mean_ratios(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], default: float = 0.5
+) -> list[float]:
+    """Mean of each ``a / b`` over the rows where it is defined, else ``default``.
+
+    All pairs are answered by one pass.
+    """
+    row = df.agg(
+        *[no_nan(F.avg(ratio(a, b))).alias(f"m{i}") for i, (a, b) in enumerate(pairs)]
+    ).first()
+    return [default if row[f"m{i}"] is None else row[f"m{i}"] for i in range(len(pairs))]
+
+
+def mean_ratio(df: DataFrame, a: str, b: str, default: float = 0.5) -> float:
+    return mean_ratios(df, [(a, b)], default)[0]
 
 
 def share_ratio(df: DataFrame, out: str, a: str, b: str) -> DataFrame:

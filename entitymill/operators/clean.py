@@ -38,8 +38,7 @@ def drop_where(df: DataFrame, column: str, value) -> DataFrame:
 
 def replace_columns(df: DataFrame, new: dict) -> DataFrame:
     """Replace or add columns in one projection."""
-    old = [new[c].alias(c) if c in new else named(c) for c in df.columns]
-    return df.select(*old, *[e.alias(c) for c, e in new.items() if c not in df.columns])
+    return df.withColumns(new) if new else df
 
 
 def relabel(df: DataFrame, names: Sequence[str]) -> DataFrame:

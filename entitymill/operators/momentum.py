@@ -80,18 +80,20 @@ def entity_features(
     categories: Mapping[str, Sequence] | None = None,
     extra: Sequence[Column] = (),
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``entity_agg`` and momentum of the same rows, in one pass.
 
     Both need the records of an entity together, so they share one shuffle.
     Entities with more than ``hot_rows`` records take the chunked way and have
-    their statistics pre-aggregated before the shuffle.
+    their statistics pre-aggregated before the shuffle. ``counted`` names a
+    cheaper frame with the same records to count them in.
     """
     df = df.filter(named(key).isNotNull())
+    rest = (prefix, subsets, categories, extra)
+    hot = hot_groups(df if counted is None else counted, key, hot_rows)
     if m.scope == "global":
         df = _mark_global_final(df, key, m)
-    rest = (prefix, subsets, categories, extra)
-    hot = hot_groups(df, key, hot_rows)
     if not hot:
         return _one_pass(df, key, spec, m, *rest)
     cold, large = split_by_keys(df, key, hot)

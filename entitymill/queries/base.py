@@ -58,7 +58,7 @@ def cte(table: str, columns: Mapping[str, str]) -> str:
 
 
 # Below this, noise around zero would still show in seven digits.
-TINY = 0.001
+TINY = 0.00098765
 # Moves exact decimals away from the point where seven digits round either way.
 NUDGE = 1.00000000003
 

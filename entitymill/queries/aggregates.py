@@ -11,7 +11,7 @@ from entitymill.operators.momentum import Momentum, momentum, row_changes
 from entitymill.operators.ordered import group_quantiles
 from entitymill.operators.select import correlation_pairs, missing_columns, select_features
 from entitymill.queries import sqltext as sql
-from entitymill.queries.base import cte, frame, query, stable, stable_columns, stable_sql
+from entitymill.queries.base import SQL, cte, frame, query, stable, stable_columns, stable_sql
 from entitymill.sources import tables as src
 from entitymill.sources.staging import staged
 
@@ -84,6 +84,13 @@ def _(t):
     return stable(rows.select("status", F.col("quantile").alias("median")))
 
 
+@query("a10_large_groups", SQL["a10_group_median"])
+def _(t):
+    """The same medians with every group cut into chunks."""
+    rows = group_quantiles(orders(t), ["status"], "amount", [0.5], hot_rows=100)
+    return stable(rows.select("status", F.col("quantile").alias("median")))
+
+
 @query("a11_category_shares", sql.aggregate(ORDERS_SQL, "cust", {}, "O_", categories={"priority": PRIORITIES}))
 def _(t):
     df = orders(t)
@@ -466,6 +473,13 @@ def _(t):
     return stable(momentum(df, "id", Momentum(["line"], "id", ["day", "line", "part"], "B_")))
 
 
+@query("w5_large_entities", SQL["w5_many_columns"])
+def _(t):
+    """The same changes with the larger entities cut into chunks."""
+    m = Momentum(["value", "gain", "spend"], "event", ["ts", "event"], "E_")
+    return stable(momentum(frame(t.events, EVENTS), "user", m, hot_rows=65))
+
+
 # ---- encoders --------------------------------------------------------------
 
 
@@ -505,6 +519,13 @@ def _(t):
     return df.select("id", "status", "priority")
 
 
+@query("e3_factorize_many_values", SQL["e3_factorize"])
+def _(t):
+    """The same codes, ranked as if there were too many to broadcast."""
+    df = factorize(orders(t), ["status", "priority"], ["day", "id"], small_rows=1)
+    return df.select("id", "status", "priority")
+
+
 # ---- column selection ------------------------------------------------------
 
 WIDE = {

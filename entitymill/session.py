@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,4 +20,14 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_shared_dir(spark)
     return spark
+
+
+def ensure_shared_dir(spark: SparkSession) -> None:
+    """Give a local session a checkpoint folder where none is set; clusters must name one."""
+    unset = spark.sparkContext.getCheckpointDir() is None
+    if unset and not spark.conf.get("spark.checkpoint.dir", None):
+        if spark.sparkContext.master.startswith("local"):
+            folder = os.path.join(tempfile.gettempdir(), "entitymill-checkpoints")
+            spark.sparkContext.setCheckpointDir(folder)

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as named by ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors share.
 
-    Without that setting a local session gets a folder of its own; a cluster
-    session is refused, as a machine-local folder would not survive there.
+    The session's active checkpoint folder, which ``spark.checkpoint.dir`` or
+    ``setCheckpointDir`` names. A session without one is refused; ``session.py``
+    has ``ensure_shared_dir`` for local sessions.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "entitymill-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -27,6 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as long as ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def blocks(values: list, most: int) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of ``values`` with about ``most`` bytes each, at least one value."""
     a = size = 0
@@ -48,7 +56,8 @@ def map_texts(
     block_bytes: int = 8_000_000,
 ) -> DataFrame:
     """``work()`` once per task gives a function from a list of UTF-8 texts (bytes
-    or None) to columns; the result has the columns ``keep`` and those of ``schema``.
+    or None) to columns; the result has the columns ``keep`` and those of ``schema``,
+    whose names must not be among ``keep`` and hold no blanks.
 
     Texts come in blocks of about ``block_bytes``, so memory follows the block and
     the longest text, not the partition.

@@ -3,8 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from entitymill.llm import secrets, simhash
+from entitymill.llm import (
+    exact_dedup,
+    language_mix,
+    license_scan,
+    packing,
+    quality_cnn,
+    quality_rules,
+    secrets,
+    sentencepiece_nbest,
+    simhash,
+    warc,
+)
+from entitymill.llm.common import scratch
 
 QUERIES = {}
 SQL = {}
@@ -24,6 +37,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_license_scan", license_scan.license_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    found = quality_rules.apply_rules(documents, labels, threshold=0.3, train_rows=20_000, folds=5)
+    return found.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "score")
+
+
+@query("op3_curve_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), length=4096).drop("ids")
+
+
+OP4_SQL = """
+with p as (
+  select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), f as (
+  select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest
+)
+select page_id, payload_bytes, p.payload_digest,
+       case when payload_bytes >= 100 and first <> page_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and first <> page_id then first end as refers_to
+from p left join f on p.payload_digest = f.payload_digest
+"""
+
+
+@query("op4_warc_boundaries", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "archives")
+    warc.write_archives(warc.page_records(table(spark, sf_dir, "pages")), path)
+    read = warc.read_archives(spark, path)
+    return read.select(
+        F.col("page").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to"
+    )
+
+
+OP5_SQL = r"""
+with d as (
+  select doc_id, length(coalesce(text, '')) as chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
+  from documents
+), k as (
+  select *, first_value(doc_id) over (partition by text_sha256 order by chars desc, doc_id) as keep_id,
+         count(*) over (partition by text_sha256) as group_size
+  from d
+)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from k
+"""
+
+
+@query("op5_exact_dedup", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.mark_duplicates(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op6_sentencepiece_n_best")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.segment(table(spark, sf_dir, "documents"), n=3)
+
+
+@query("op7_quality_cnn")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    net = quality_cnn.fit_labelled(documents, labels, train_rows=4_000, folds=5)
+    return quality_cnn.score_quality(documents, net, threshold=0.3, folds=5)
+
+
+@query("op8_language_mixture")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language_mix.identify(documents, language_mix.learn(documents, folds=4, held=2), folds=4, held=2)
+
+
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)

@@ -13,9 +13,11 @@ import re
 import zlib
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from entitymill.llm.common import map_texts
+from entitymill.llm.common import free_name, map_texts
 
 # Keywords, patterns and least lengths of the base kinds.
 ASSIGN_WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
@@ -101,36 +103,61 @@ def redacted(text: str, spans, mask: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False, keep=()) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, counts by kind, spans and their digest.
 
     Null and empty texts have no spans (digest of the empty string); a null id is
     kept; repeated rows give repeated results; whole texts are scanned whatever
-    their length. Other columns of ``docs`` play no part, whatever their names;
-    those in ``keep`` are passed on. With ``redact`` the column ``clean_text`` holds
-    the text with its secrets masked (null stays null).
+    their length; an empty table gives no rows. Further columns play no part.
     """
-    added = ", clean_text string" if redact else ""
 
     def work():
         words = automaton()
 
         def scan(texts: list) -> dict:
-            columns = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_checked", "base_sha256", "spans", "clean_text")}
+            columns = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_checked", "base_sha256", "spans")}
             for raw in texts:
-                text = (raw or b"").decode("utf-8", "replace")
-                spans = find_spans(text, words)
+                spans = find_spans((raw or b"").decode("utf-8", "replace"), words)
                 kinds = [s[2] for s in spans]
                 for k in KINDS:
                     columns[f"n_{k}"].append(kinds.count(k))
                 base = joined(s for s in spans if s[2] != "checked")
                 columns["base_sha256"].append(hashlib.sha256(base.encode()).hexdigest())
                 columns["spans"].append(joined(spans))
-                if redact:
-                    columns["clean_text"].append(None if raw is None else redacted(text, spans))
             return columns
 
         return scan
 
     schema = "n_assign long, n_access long, n_hex long, n_checked long, base_sha256 string, spans string"
-    return map_texts(docs, text_col, [id_col, *keep], schema + added, work)
+    return map_texts(docs, text_col, [id_col], schema, work)
+
+
+def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with every secret in the text masked, and ``length_col``, if there is one,
+    counted anew where the text changed. All rows and columns stay; null texts stay null."""
+    clean = free_name(docs, "clean_text")
+
+    def work():
+        words = automaton()
+
+        def mask(texts: list) -> dict:
+            out = []
+            for raw in texts:
+                text = None if raw is None else raw.decode("utf-8", "replace")
+                spans = find_spans(text, words) if text else []
+                out.append(redacted(text, spans) if spans else text)
+            return {clean: pa.array(out, pa.string())}
+
+        return mask
+
+    masked = map_texts(docs, text_col, docs.columns, f"{clean} string", work)
+    changed = ~F.col(clean).eqNullSafe(F.col(f"`{text_col}`"))
+    columns = []
+    for f in docs.schema:
+        column = F.col(f"`{f.name}`")
+        if f.name == text_col:
+            column = F.col(clean)
+        elif f.name == length_col:
+            column = F.when(changed, F.length(clean).cast(f.dataType)).otherwise(column)
+        columns.append(column.alias(f.name))
+    return masked.select(*columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitymill.llm.common import map_texts, written
+from entitymill.llm.common import free_name, map_texts, written
 from entitymill.llm.components import components
 
 BITS = 64
@@ -145,26 +145,43 @@ def _bucket_links(batches, radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, keep=("doc_id",), id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The ``keep`` columns, ``fp`` (signed) and ``component_id`` of every row of ``docs``.
+def component_roots(docs: DataFrame, keep, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """The ``keep`` columns of every row, its ``fp`` and ``root`` (the least fingerprint of its
+    component) with ``least``, the component's smallest id."""
+    prints = written(fingerprints(docs, keep, text_col, shingle), "simhash-prints")
+    distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
+    roots = components(links(distinct.select("fp"), radius))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left")
+    rooted = written(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("least")), "simhash-least")
+    classes = rooted.select(F.col("fp").alias("_fp"), "root").join(least, "root")
+    classes = written(classes, "simhash-classes")
+    return prints.join(classes, prints.fp == classes["_fp"]).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """id, ``fp`` (signed) and ``component_id`` of every row of ``docs``.
 
     Rows are linked if their fingerprints differ in at most ``radius`` bits, and
     ``component_id`` is the smallest id reachable over links (null only if all those
     ids are null). Texts without words (null, empty, white space) have fingerprint 0
     and are linked like any other; equal rows have equal results; whole texts count,
-    however long; an empty table gives no rows. Other columns play no part.
+    however long; an empty table gives no rows. Further columns play no part.
     """
-    if id_col not in keep:
-        raise ValueError(f"keep must hold {id_col}")
-    prints = written(fingerprints(docs, keep, text_col, shingle), "simhash-prints")
-    distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left")
-    rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "simhash-roots")
-    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    classes = written(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "simhash-classes")
-    return prints.join(classes, prints.fp == classes["_fp"]).drop("_fp")
+    found = component_roots(docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"]), [id_col], id_col, text_col, shingle, radius)
+    return found.select(f"`{id_col}`", "fp", F.col("least").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id (null last; of
+    equal ids the first row written). All columns stay, and cases are as in ``near_duplicates``."""
+    row = free_name(docs, "row_number")
+    source = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-source")
+    found = component_roots(source, [row, id_col], id_col, text_col, shingle, radius)
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row))
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col(f"first.{row}").alias("_first"))
+    first = written(first, "simhash-first")
+    return source.join(first.hint("shuffle_hash"), source[row] == first["_first"], "left_semi").drop(row)
 
 
 def hex_digits(fp: str = "fp"):

@@ -19,7 +19,7 @@ def canonical(df):
         tuple(None if v is None or v != v or (isinstance(v, float) and math.isnan(v)) else v for v in r)
         for r in df.itertuples(index=False, name=None)
     ]
-    return sorted(rows, key=lambda r: tuple((v is None, str(type(v)), v or 0) for v in r))
+    return sorted(rows, key=lambda r: tuple((v is None, str(type(v)), 0 if v is None else v) for v in r))
 
 
 def assert_same(got, want):

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitymill.functions.scalar import named
-from entitymill.operators.skew import SMALL_ROWS, small_or_shuffled
 
 
 def attach(left: DataFrame, features: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -25,11 +24,13 @@ def attach_all(left: DataFrame, tables: Sequence[DataFrame], key: str) -> DataFr
     return reduce(lambda out, t: attach(out, t, key), tables, left)
 
 
-def attach_lookup(
-    df: DataFrame, lookup: DataFrame, key: str, max_rows: int = SMALL_ROWS
-) -> DataFrame:
-    """Left join of a value table; broadcast only if it is proven small."""
-    return attach(df, small_or_shuffled(lookup, max_rows), key)
+def attach_lookup(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join of a value table.
+
+    The plan decides while it runs: a lookup whose bytes turn out small is
+    broadcast, a larger one is shuffled and parts of hot keys are split.
+    """
+    return attach(df, lookup, key)
 
 
 def keep_matching(df: DataFrame, keys: DataFrame, key: str | Sequence[str]) -> DataFrame:

@@ -10,12 +10,10 @@ from pyspark.sql.types import StringType
 
 from entitymill.functions.scalar import named, sql_name, sql_value
 from entitymill.operators.ordered import prefix_sums
-from entitymill.operators.skew import SMALL_ROWS
+from entitymill.sources.staging import cut_lineage
 
 # Stands for the indicator of a missing category; its column ends in ``_nan``.
 MISSING = type("Missing", (), {"__repr__": lambda self: "MISSING"})()
-# Every category becomes a column; beyond this a schema is no longer usable.
-MAX_CATEGORIES = 10_000
 
 
 def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -40,12 +38,13 @@ def find_categories(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     missing: bool = True,
-    max_categories: int = MAX_CATEGORIES,
+    max_categories: int | None = None,
 ) -> dict[str, list]:
     """Sorted categories of each string column, from one distributed pass.
 
     With ``missing`` every column also gets the missing indicator, whether or
-    not a value is missing. Too many categories for a schema is an error.
+    not a value is missing. Every category becomes a column, so the driver holds
+    them all; a caller may name a number beyond which that is an error.
     """
     columns = string_columns(df) if columns is None else list(columns)
     found: dict[str, list] = {c: [] for c in columns}
@@ -54,8 +53,10 @@ def find_categories(
             *[F.struct(F.lit(c).alias("column"), named(c).alias("value")) for c in columns]
         )
         distinct = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
-        rows = distinct.limit(max_categories + 1).collect()
-        if len(rows) > max_categories:
+        if max_categories is not None:
+            distinct = distinct.limit(max_categories + 1)
+        rows = distinct.collect()
+        if max_categories is not None and len(rows) > max_categories:
             raise ValueError(
                 f"more than {max_categories} categories in {columns}; drop or group the "
                 "high-cardinality column, or pass max_categories"
@@ -96,33 +97,21 @@ def _first_seen(df: DataFrame, columns: Sequence[str], order_by: Sequence[str])
 
 
 def factorize(
-    df: DataFrame,
-    columns: Sequence[str],
-    order_by: Sequence[str],
-    small_rows: int = SMALL_ROWS,
+    df: DataFrame, columns: Sequence[str], order_by: Sequence[str], chunks: int | None = None
 ) -> DataFrame:
     """Replace values by codes 0, 1, ... in order of first appearance.
 
-    Missing values get -1. ``order_by`` must order the rows totally. Few
-    distinct values are coded through a broadcast table; many are ranked and
-    joined without passing through one task.
+    Missing values get -1. ``order_by`` must order the rows totally. Distinct
+    values are ranked by running counts and joined; the plan broadcasts the
+    codes of a column if their bytes turn out small.
     """
     firsts = _first_seen(df, columns, order_by)
-    rows = firsts.limit(small_rows + 1).collect()
-    spark = df.sparkSession
-    if len(rows) <= small_rows:
-        codes: list[tuple] = []
-        for c in columns:
-            seen = sorted((r for r in rows if r["column"] == c), key=lambda r: tuple(r["first"]))
-            codes += [(c, r["value"], i) for i, r in enumerate(seen)]
-        table = spark.createDataFrame(codes, "column string, value string, code int")
-        parts = {c: F.broadcast(table.filter(F.col("column") == c)) for c in columns}
-    else:
-        ranked = prefix_sums(firsts, ["column"], ["first"], {"code": F.lit(1)})
-        ranked = ranked.withColumn("code", F.col("code").cast("int"))
-        parts = {c: ranked.filter(F.col("column") == c) for c in columns}
-    for c, part in parts.items():
-        lookup = part.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+    ranked = prefix_sums(firsts, ["column"], ["first"], {"code": F.lit(1)}, chunks=chunks)
+    ranked = cut_lineage(ranked)
+    for c in columns:
+        lookup = ranked.filter(F.col("column") == c).select(
+            F.col("value").alias("_value"), F.col("code").cast("int").alias("_code")
+        )
         df = df.join(lookup, named(c) == F.col("_value"), "left").withColumn(
             c, F.coalesce(F.col("_code"), F.lit(-1))
         )

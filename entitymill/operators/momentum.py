@@ -4,10 +4,10 @@ For every feature: the mean difference and the mean percent change between
 consecutive records of an entity, over all records and over those of its latest
 sub-account. Percent changes compare with the last known value.
 
-An entity whose records fit one task is handled by window functions, in the
-same pass as its statistics (one shuffle). A larger entity is cut into ordered
-chunks; each chunk yields a short summary, and the changes across chunk borders
-follow from the summaries alone.
+Records are range partitioned by (entity, order), so an entity of any size is
+spread over as many chunks as it needs. Each chunk yields a short summary per
+entity, and the changes across chunk borders follow from the summaries alone.
+Statistics are combined in the same chunks before their own, short shuffle.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from entitymill.functions.scalar import (
 from entitymill.operators.aggregate import Spec, entity_agg, share_columns, stat_columns
 from entitymill.operators.attach import attach
 from entitymill.operators.ordered import chunk_by_order
-from entitymill.operators.skew import HOT_ROWS, hot_groups, ordered_chunks, split_by_keys
 
 CHANGES = ("DIFF", "PCT")
 
@@ -65,9 +64,9 @@ class Momentum:
         ]
 
 
-def momentum(df: DataFrame, key: str, m: Momentum, hot_rows: int = HOT_ROWS) -> DataFrame:
+def momentum(df: DataFrame, key: str, m: Momentum, chunks: int | None = None) -> DataFrame:
     """One row per entity with four change features per followed column."""
-    return entity_features(df, key, {}, m, hot_rows=hot_rows)
+    return entity_features(df, key, {}, m, chunks=chunks)
 
 
 def entity_features(
@@ -79,32 +78,21 @@ def entity_features(
     subsets: Mapping[str, str] | None = None,
     categories: Mapping[str, Sequence] | None = None,
     extra: Sequence[Column] = (),
-    hot_rows: int = HOT_ROWS,
-    counted: DataFrame | None = None,
+    chunks: int | None = None,
 ) -> DataFrame:
-    """``entity_agg`` and momentum of the same rows, in one pass.
+    """``entity_agg`` and momentum of the same rows, from the same chunks.
 
-    Both need the records of an entity together, so they share one shuffle.
-    Entities with more than ``hot_rows`` records take the chunked way and have
-    their statistics pre-aggregated before the shuffle. ``counted`` names a
-    cheaper frame with the same records to count them in.
+    The rows are shuffled once, into checkpointed chunks; after that only
+    summaries move, and the columns that momentum follows.
     """
     df = df.filter(named(key).isNotNull())
-    rest = (prefix, subsets, categories, extra)
-    hot = hot_groups(df if counted is None else counted, key, hot_rows)
     if m.scope == "global":
         df = _mark_global_final(df, key, m)
-    if not hot:
-        return _one_pass(df, key, spec, m, *rest)
-    cold, large = split_by_keys(df, key, hot)
-    changes = _chunked(large, key, m, sum(hot.values()), hot_rows)
-    stats = entity_agg(large, key, spec, *rest) if _has_stats(spec, *rest) else None
-    large_out = changes if stats is None else attach(stats, changes, key)
-    return _one_pass(cold, key, spec, m, *rest).unionByName(large_out)
-
-
-def _has_stats(spec, prefix, subsets, categories, extra) -> bool:
-    return bool(spec or categories or extra)
+    rows = chunk_by_order(df, [key, *m.order_by], chunks)
+    changes = _stitch(_summaries(rows, key, m), key, m)
+    if not (spec or categories or extra):
+        return changes
+    return attach(entity_agg(rows, key, spec, prefix, subsets, categories, extra), changes, key)
 
 
 def _mark_global_final(df: DataFrame, key: str, m: Momentum) -> DataFrame:
@@ -144,7 +132,14 @@ def _changes(m: Momentum) -> list[Column]:
 def _with_changes(df: DataFrame, within: Sequence[str], m: Momentum) -> DataFrame:
     """Add per record: both changes, and whether its account is the latest."""
     group = Window.partitionBy(*[named(c) for c in within])
-    rows = _lagged(df, within, m).withColumn("_newest", F.max(named(m.account)).over(group))
+    # Rows of equal order always share a chunk, so looking inside chunks finds all of them.
+    order = F.struct(*[named(c) for c in m.order_by])
+    in_order = group.orderBy(*[named(c) for c in m.order_by])
+    rows = _lagged(df, within, m).select(
+        "*",
+        F.max(named(m.account)).over(group).alias("_newest"),
+        (F.lag(order).over(in_order) == order).alias("_repeats"),
+    )
     final = (
         F.col("_is_latest")
         if m.scope == "global"
@@ -153,29 +148,18 @@ def _with_changes(df: DataFrame, within: Sequence[str], m: Momentum) -> DataFram
     return rows.select("*", final.alias("_final"), *_changes(m))
 
 
-def _one_pass(df, key, spec, m, prefix, subsets, categories, extra) -> DataFrame:
-    records = _with_changes(df, [key], m)
-    columns = stat_columns(spec, prefix)
-    for sub_prefix, condition in (subsets or {}).items():
-        columns += stat_columns(spec, sub_prefix, condition)
-    columns += share_columns(categories or {}, prefix) + list(extra)
-    for i, f in enumerate(m.features):
-        for change in CHANGES:
-            x = f"_{change}{i}"
-            for part, rows in (("MEAN", x), ("FIN", f"CASE WHEN _final THEN {x} END")):
-                mean = F.expr(sql_no_nan(f"avg({rows})"))
-                columns.append(mean.alias(f"{m.prefix}{f}_{change}_{part}"))
-    return records.groupBy(named(key)).agg(*columns)
-
-
-def _chunked(df: DataFrame, key: str, m: Momentum, rows: int, hot_rows: int) -> DataFrame:
-    chunks = ordered_chunks(df, [named(key), *[named(c) for c in m.order_by]], rows, hot_rows)
-    records = _with_changes(chunks, [key, "_chunk"], m)
+def _summaries(chunks: DataFrame, key: str, m: Momentum) -> DataFrame:
+    """One row per entity and chunk with what its neighbours need to know of it."""
+    used = dict.fromkeys([key, "_chunk", m.account, *m.order_by, *m.features])
+    if m.scope == "global":
+        used["_is_latest"] = None
+    records = _with_changes(chunks.select(*[named(c) for c in used]), [key, "_chunk"], m)
     order = F.struct(*[named(c) for c in m.order_by])
     final = F.col("_final")
     summary = [
         F.max("_newest").alias("_newest"),
         F.min_by(final, order).alias("_first_final"),
+        F.count(F.when(F.col("_repeats"), 1)).alias("_repeats"),
     ]
     for i, f in enumerate(m.features):
         x = num(f)
@@ -198,8 +182,7 @@ def _chunked(df: DataFrame, key: str, m: Momentum, rows: int, hot_rows: int) ->
                 F.sum(F.when(final, c)).alias(f"_{change}_final_sum{i}"),
                 F.count(F.when(final, c)).alias(f"_{change}_final_n{i}"),
             ]
-    per_chunk = records.groupBy(named(key), "_chunk").agg(*summary)
-    return _stitch(per_chunk, key, m)
+    return records.groupBy(named(key), "_chunk").agg(*summary)
 
 
 def _stitch(per_chunk: DataFrame, key: str, m: Momentum) -> DataFrame:
@@ -231,8 +214,10 @@ def _stitch(per_chunk: DataFrame, key: str, m: Momentum) -> DataFrame:
     def mean(sums, counted):
         value = F.sum(sum(sums[1:], sums[0]))
         n = F.sum(sum(counted[1:], counted[0]))
-        return no_nan(F.try_divide(value, n))
+        return F.when(repeats, F.raise_error(message)).otherwise(no_nan(F.try_divide(value, n)))
 
+    repeats = F.sum("_repeats") > 0
+    message = F.lit(f"records of one {key} are equal in {', '.join(m.order_by)}: their order is open")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     has = lambda c: c.isNotNull().cast("long")
     out = []
@@ -269,16 +254,10 @@ def _stitch(per_chunk: DataFrame, key: str, m: Momentum) -> DataFrame:
 
 
 def row_changes(
-    df: DataFrame, key: str, m: Momentum, hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, m: Momentum, chunks: int | None = None
 ) -> DataFrame:
     """Per record: difference and percent change of every followed column."""
-    df = df.filter(named(key).isNotNull())
-    hot = hot_groups(df, key, hot_rows)
-    if hot:
-        cold, large = split_by_keys(df, key, hot)
-        rows = _lagged(cold, [key], m).unionByName(_lagged_in_chunks(large, key, m))
-    else:
-        rows = _lagged(df, [key], m)
+    rows = _lagged_in_chunks(df.filter(named(key).isNotNull()), key, m, chunks)
     return rows.select("*", *_changes(m)).select(
         *[named(c) for c in df.columns],
         *[
@@ -289,9 +268,9 @@ def row_changes(
     )
 
 
-def _lagged_in_chunks(df: DataFrame, key: str, m: Momentum) -> DataFrame:
-    """``_lagged`` for large entities: chunks take over their start values."""
-    chunks = chunk_by_order(df, [key, *m.order_by])
+def _lagged_in_chunks(df: DataFrame, key: str, m: Momentum, chunks: int | None) -> DataFrame:
+    """``_lagged`` over whole entities: chunks take over their start values."""
+    chunks = chunk_by_order(df, [key, *m.order_by], chunks)
     order = F.struct(*[named(c) for c in m.order_by])
     ends, starts = [], []
     w = Window.partitionBy("_k").orderBy("_c")

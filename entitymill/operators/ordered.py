@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitymill.functions.scalar import named, no_nan, num, sql_value
-from entitymill.operators.skew import HOT_ROWS, hot_groups, split_by_keys
 from entitymill.sources.staging import cut_lineage
 
 
@@ -23,13 +22,14 @@ def prefix_sums(
     order_by: Sequence[str],
     sums: Mapping[str, Column],
     keep_chunk: bool = False,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Add columns with the sum of ``sums`` over all earlier rows of the group.
 
     ``order_by`` must order the rows of a group totally. The chunked frame is
     checkpointed, because it is read twice and must number its chunks alike.
     """
-    chunked = chunk_by_order(df, [*groups, *order_by])
+    chunked = chunk_by_order(df, [*groups, *order_by], chunks)
     keys = [*groups, "_chunk"]
     before = (
         Window.partitionBy(*keys)
@@ -57,9 +57,14 @@ def prefix_sums(
     )
 
 
-def chunk_by_order(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Range partitions of ``df`` with their number as ``_chunk``, checkpointed."""
-    ranged = df.repartitionByRange(*[named(c) for c in by])
+def chunk_by_order(df: DataFrame, by: Sequence[str], chunks: int | None = None) -> DataFrame:
+    """Range partitions of ``df`` with their number as ``_chunk``, checkpointed.
+
+    How many follows from the bytes of the rows, unless ``chunks`` says it. Results
+    that are put together from chunks do not depend on it.
+    """
+    columns = [named(c) for c in by]
+    ranged = df.repartitionByRange(*columns) if chunks is None else df.repartitionByRange(chunks, *columns)
     return cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id()))
 
 
@@ -68,51 +73,27 @@ def group_quantiles(
     groups: Sequence[str],
     value: str,
     levels: Sequence[float],
-    hot_rows: int = HOT_ROWS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: (groups..., level, quantile).
 
-    Groups that fit a task use the built-in ``percentile``; larger ones, and
-    the ungrouped case, find the bounding order statistics by running counts.
+    Distinct values are counted, put in order in chunks, and the bounding order
+    statistics are found by running counts, whatever the size of a group.
     """
     present = df.filter(num(value).isNotNull())
     for g in groups:
         present = present.filter(named(g).isNotNull())
-    if len(groups) == 1:
-        hot = hot_groups(present, groups[0], hot_rows)
-        if not hot:
-            return _plain_quantiles(present, groups, value, levels)
-        cold, large = split_by_keys(present, groups[0], hot)
-        return _plain_quantiles(cold, groups, value, levels).unionByName(
-            _ranked_quantiles(large, groups, value, levels)
-        )
-    return _ranked_quantiles(present, groups, value, levels)
-
-
-def _plain_quantiles(df, groups, value, levels) -> DataFrame:
-    grid = _double_array(levels)
-    quantiles = F.percentile(num(value), grid)
-    pairs = F.arrays_zip(grid.alias("level"), F.col("_q").alias("quantile"))
-    rows = df.groupBy(*[named(g) for g in groups]).agg(quantiles.alias("_q"))
-    return rows.select(*[named(g) for g in groups], F.explode(pairs).alias("_p")).select(
-        *[named(g) for g in groups],
-        F.col("_p.level").alias("level"),
-        no_nan(F.col("_p.quantile")).alias("quantile"),
+    counts = present.groupBy(*[named(g) for g in groups], num(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n")
     )
+    ranked = prefix_sums(counts, groups, ["_v"], {"_before": F.col("_n")}, True, chunks)
+    return pick_quantiles(cut_lineage(ranked), groups, "_v", "_n", "_before", levels)
 
 
 def _double_array(values: Sequence[float]) -> Column:
     return F.expr(f"array({', '.join(sql_value(float(v)) for v in values)})")
 
 
-def _ranked_quantiles(df, groups, value, levels) -> DataFrame:
-    counts = df.groupBy(*[named(g) for g in groups], num(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    ranked = prefix_sums(counts, groups, ["_v"], {"_before": F.col("_n")}, keep_chunk=True)
-    return pick_quantiles(cut_lineage(ranked), groups, "_v", "_n", "_before", levels)
-
-
 def pick_quantiles(
     ranked: DataFrame,
     groups: Sequence[str],
@@ -125,40 +106,37 @@ def pick_quantiles(
     """Quantiles from distinct values with their counts and running counts.
 
     ``ranked`` comes from ``prefix_sums(..., keep_chunk=True)`` and should be
-    checkpointed, as it is read three times. The positions asked for are looked up by interval: each distinct value
-    covers the ranks ``before <= rank < before + count``. ``payload`` columns
-    of the two bounding values come along as ``<name>_lo`` and ``<name>_hi``.
+    checkpointed, as it is read three times. Each distinct value covers the ranks
+    ``before <= rank < before + count``. ``payload`` columns of the two bounding
+    values come along as ``<name>_lo`` and ``<name>_hi``.
     """
     by = [named(g) for g in groups]
-    totals = ranked.groupBy(*by).agg(F.sum(count).alias("_rows"))
-    asked = totals.select(
-        *by,
-        F.transform(
-            _double_array(levels),
-            lambda q: F.struct(q.alias("level"), (q * (F.col("_rows") - 1)).alias("_pos")),
-        ).alias("_all"),
-    )
-    # The chunk that covers each bounding rank; other chunks are not read again.
-    spans = ranked.groupBy(*by, "_chunk").agg(
-        F.min(before).alias("_from"), F.max(named(before) + named(count)).alias("_to")
-    )
     sides = F.array(
         F.struct(F.lit("lo").alias("_side"), F.floor("_l._pos").alias("_at")),
         F.struct(F.lit("hi").alias("_side"), F.ceil("_l._pos").alias("_at")),
     )
-    wanted = (
-        _same_group(spans, asked, groups)
-        .select(*by, "_chunk", "_from", "_to", F.explode("_all").alias("_l"))
-        .select(*by, "_chunk", "_from", "_to", "_l.*", F.inline(sides))
-        .filter((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
-        .select(*by, "_chunk", "_at", "level", "_pos", "_side")
+    asked = F.transform(
+        _double_array(levels),
+        lambda q: F.struct(q.alias("level"), (q * (F.col("_rows") - 1)).alias("_pos")),
     )
+    totals = ranked.groupBy(*by).agg(F.sum(count).alias("_rows")).filter("_rows > 0")
+    wanted = (
+        totals.select(*by, F.explode(asked).alias("_l"))
+        .select(*by, "_l.*", F.inline(sides))
+    )
+    # Chunks and ranks in one order: a rank lies in the last chunk that starts before it.
+    starts = ranked.groupBy(*by, "_chunk").agg(F.min(before).alias("_at"))
+    is_rank = F.col("_side").isNotNull()
+    w = Window.partitionBy(*by, F.lit(0)).orderBy("_at", is_rank)
+    w = w.rowsBetween(Window.unboundedPreceding, 0)
+    lined_up = starts.unionByName(wanted, allowMissingColumns=True)
+    wanted = lined_up.withColumn("_chunk", F.last("_chunk", ignorenulls=True).over(w)).filter(is_rank)
+    wanted = cut_lineage(wanted.select(*by, "_chunk", "_at", "level", "_pos", "_side"))
     # Ranks and values in one order: a rank belongs to the last value before it.
     values = ranked.join(wanted.select(*by, "_chunk").distinct(), [*groups, "_chunk"], "left_semi")
     row = F.struct(named(value).alias("_value"), *[named(p) for p in payload]).alias("_row")
     values = values.select(*by, "_chunk", named(before).alias("_at"), row)
     lined_up = values.unionByName(wanted, allowMissingColumns=True)
-    is_rank = F.col("_side").isNotNull()
     w = Window.partitionBy(*by, "_chunk").orderBy("_at", is_rank)
     w = w.rowsBetween(Window.unboundedPreceding, 0)
     hits = lined_up.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).filter(is_rank)
@@ -178,11 +156,3 @@ def pick_quantiles(
         between.alias("quantile"),
         *[F.col(f"{p}_{s}") for p in payload for s in ("lo", "hi")],
     )
-
-
-def _same_group(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Join on the group columns; without any, ``right`` is a single row."""
-    if groups:
-        return left.join(right, list(groups), "inner")
-    one = F.lit(1).alias("_one")
-    return left.select("*", one).join(F.broadcast(right.select("*", one)), "_one").drop("_one")

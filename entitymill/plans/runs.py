@@ -12,15 +12,20 @@ from entitymill.operators.aggregate import importance_totals
 from entitymill.operators.attach import join_predictions, top_features
 from entitymill.operators.blend import Cutoffs, blend, cut_by, find_cutoffs
 from entitymill.operators.metrics import roc_auc_value
-from entitymill.operators.models import KFoldResult, Learner, kfold
+from entitymill.operators.models import KFoldResult, Learner, kfold, random_forest
+from entitymill.operators.search import SearchResult, search
+from entitymill.operators.select import select_features
 from entitymill.plans.histories import APPLICANT
 from entitymill.plans.matrix import feature_matrix
+from entitymill.sources.staging import file_facts
 from entitymill.sources.tables import (
     FILE_ORDER,
     head_rows,
     read_csv,
+    read_parquet,
     write_csv,
     write_oof,
+    write_params,
     write_submission,
 )
 
@@ -61,13 +66,21 @@ def build_matrix(
     folder: str,
     stage_folder: str,
     num_rows: int | None = None,
-    reuse: bool = True,
+    reuse: bool = False,
     **options,
 ) -> DataFrame:
-    """The feature matrix of a folder of CSV files, with staged table features."""
+    """The feature matrix of a folder of CSV files, with staged table features.
+
+    With ``reuse`` table features are read again if they were written from the same
+    files (name, size, time of change), number of rows, orders and options.
+    """
     tables = load_tables(spark, folder, num_rows)
     orders = {name: (FILE_ORDER,) for name in tables}
-    return feature_matrix(tables, orders, stage_folder=stage_folder, reuse=reuse, **options)
+    made_from = None
+    if reuse:
+        files = {name: file_facts(spark, f"{folder}/{file}") for name, file in FILES.items()}
+        made_from = {"files": files, "num_rows": num_rows}
+    return feature_matrix(tables, orders, stage_folder=stage_folder, made_from=made_from, **options)
 
 
 def train_and_write(
@@ -77,23 +90,50 @@ def train_and_write(
     k: int = 10,
     stratified: bool = True,
     debug: bool = False,
+    oof_label: bool = False,
     **options,
 ) -> KFoldResult:
     """K-fold training; unless ``debug`` writes predictions and importances.
 
-    Writes ``submission``, ``oof``, ``importance`` (sums over the folds) and
-    ``top_importance`` (the fold rows of the 40 best features).
+    Writes ``submission``, ``oof`` (with the label if ``oof_label``, as the dense
+    net's run does), ``importance`` (sums over the folds) and ``top_importance``
+    (the fold rows of the 40 best features).
     """
     result = kfold(matrix, learner, APPLICANT, LABEL, k, stratified, **options)
     if not debug:
         write_submission(result.test, f"{folder}/submission", APPLICANT, LABEL)
-        write_oof(result.oof, f"{folder}/oof", APPLICANT)
+        oof = result.oof.withColumnRenamed("label", LABEL)
+        write_oof(oof, f"{folder}/oof", APPLICANT, LABEL if oof_label else None)
         if result.importances is not None:
             write_csv(importance_totals(result.importances), f"{folder}/importance")
             write_csv(top_features(result.importances), f"{folder}/top_importance")
     return result
 
 
+def select_and_train(
+    spark: SparkSession,
+    matrix: DataFrame,
+    folder: str,
+    learner: Learner | None = None,
+    k: int = 5,
+    **options,
+) -> KFoldResult:
+    """The run on selected features: selection, the selected table written and scanned
+    again, and a forest on it (or another learner)."""
+    selected = select_features(matrix, keep=(APPLICANT, LABEL))
+    path = f"{folder}/selected"
+    selected.write.mode("overwrite").parquet(path)
+    table = read_parquet(spark, path)
+    return train_and_write(table, learner or random_forest(), folder, k, **options)
+
+
+def search_and_write(matrix: DataFrame, path: str, **options) -> SearchResult:
+    """The search run: its best parameters end in a file of one row."""
+    found = search(matrix, APPLICANT, LABEL, **options)
+    write_params(matrix.sparkSession, found.best, path)
+    return found
+
+
 def blend_and_write(
     labels: DataFrame,
     oof: Mapping[str, DataFrame],
@@ -103,16 +143,18 @@ def blend_and_write(
     mode: str = "level_as_value",
     low_grid: Sequence[float] | None = None,
     high_grid: Sequence[float] | None = None,
+    ids: DataFrame | None = None,
 ) -> tuple[Cutoffs, float | None]:
     """Blend models, find the best cuts on OOF predictions, write the blend.
 
-    Returns the cuts and the AUC of the uncut blend.
+    ``ids`` lists the rows of the result, as the sample submission does; without it
+    every id of any submission is there. Returns the cuts and the AUC of the uncut blend.
     """
     base = labels.select(named(APPLICANT), named(LABEL))
     train = join_predictions(base, oof, APPLICANT)
     train = train.select(LABEL, blend_of(list(oof), weights).alias("score"))
     cutoffs = find_cutoffs(train, LABEL, "score", mode, low_grid, high_grid)
-    blended = blend(submissions, weights, APPLICANT, LABEL)
+    blended = blend(submissions, weights, APPLICANT, LABEL, ids)
     out = cut_by(blended, LABEL, cutoffs, mode)
     write_csv(out.select(named(APPLICANT), F.col(LABEL)), path)
     return cutoffs, roc_auc_value(train, LABEL, "score")

@@ -87,7 +87,7 @@ def _(t):
 @query("a10_large_groups", SQL["a10_group_median"])
 def _(t):
     """The same medians with every group cut into chunks."""
-    rows = group_quantiles(orders(t), ["status"], "amount", [0.5], hot_rows=100)
+    rows = group_quantiles(orders(t), ["status"], "amount", [0.5], chunks=40)
     return stable(rows.select("status", F.col("quantile").alias("median")))
 
 
@@ -121,19 +121,19 @@ def _(t):
 
 
 LINES = {
-    "id": "l_orderkey", "line": "l_linenumber", "qty": "l_quantity",
+    # Only fulfilled lines name their order, so that some orders stay without any.
+    "id": "case when l_linestatus = 'F' then l_orderkey end", "line": "l_linenumber", "qty": "l_quantity",
     "tax": "nullif(l_tax, 0)", "flag": "case when l_returnflag = 'N' then null else l_returnflag end",
     "late": "l_linestatus",
 }
-# Only fulfilled lines, so that some orders stay without any.
-LINES_SQL = cte("lineitem", LINES) + " where l_linestatus = 'F'"
+LINES_SQL = cte("lineitem", LINES)
 CHILD = {"qty": ["min", "max", "size", "mean"]}
 PARENT = {"qty_MIN": ["mean", "min"], "qty_MAX": ["mean", "max"], "qty_SIZE": ["mean", "sum"]}
 FLAG_VALUES = {"flag": ["A", "R", MISSING]}
 
 
 def lines(t):
-    return frame(t.lineitem, LINES).filter(F.col("late") == "F")
+    return frame(t.lineitem, LINES)
 
 
 CHILD_SQL = sql.aggregate(LINES_SQL, "id", CHILD, categories=FLAG_VALUES, rounded=False)
@@ -159,7 +159,7 @@ def _(t):
     "select id, min(cast(flag is not distinct from 'A' as int))::double as \"flag_A_MIN\","
     " max(cast(flag is not distinct from 'A' as int))::double as \"flag_A_MAX\","
     " max(cast(flag is null as int))::double as \"flag_nan_MAX\""
-    f" from ({LINES_SQL}) s group by id",
+    f" from ({LINES_SQL}) s where id is not null group by id",
 )
 def _(t):
     encoded, _ = one_hot(lines(t), categories={"flag": ["A", MISSING]})
@@ -477,7 +477,7 @@ def _(t):
 def _(t):
     """The same changes with the larger entities cut into chunks."""
     m = Momentum(["value", "gain", "spend"], "event", ["ts", "event"], "E_")
-    return stable(momentum(frame(t.events, EVENTS), "user", m, hot_rows=65))
+    return stable(momentum(frame(t.events, EVENTS), "user", m, chunks=40))
 
 
 # ---- encoders --------------------------------------------------------------
@@ -522,7 +522,7 @@ def _(t):
 @query("e3_factorize_many_values", SQL["e3_factorize"])
 def _(t):
     """The same codes, ranked as if there were too many to broadcast."""
-    df = factorize(orders(t), ["status", "priority"], ["day", "id"], small_rows=1)
+    df = factorize(orders(t), ["status", "priority"], ["day", "id"], chunks=40)
     return df.select("id", "status", "priority")
 
 
@@ -617,8 +617,9 @@ def _(t):
 def _(t):
     path = t.scratch("s4")
     build = lambda: ag.entity_agg(orders(t), "cust", {"total": ["mean", "sum"]})
-    staged(build, path, t.spark)
-    return stable(staged(lambda: None, path, t.spark))
+    facts = {"table": "orders", "folder": t.folder}
+    staged(build, path, t.spark, facts)
+    return stable(staged(lambda: None, path, t.spark, facts))
 
 
 SCORED_SQL = "select c_custkey as id, (c_acctbal + 1000) / 11000 as prediction, c_nationkey as target from customer"

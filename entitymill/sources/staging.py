@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,17 +31,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(build, path: str, spark: SparkSession, reuse: bool = True) -> DataFrame:
-    """Feature table at ``path``: read if it was written before, else built.
+def staged(build, path: str, spark: SparkSession, made_from: Mapping | None = None) -> DataFrame:
+    """Feature table written under ``path``, and read from there.
 
-    ``build`` is a function without arguments that returns the frame. A folder
-    counts as written once its success marker is there.
+    ``build`` is a function without arguments that returns the frame. ``made_from``
+    says all that decides its rows (input files, row limits, orders, options); it
+    becomes part of the folder's name, and a table that was written from the same is
+    read again. Without it the table is always built anew. A folder counts as
+    written once its success marker is there.
     """
-    if not (reuse and _is_written(spark, path)):
+    if made_from is not None:
+        text = json.dumps(made_from, sort_keys=True, default=str)
+        path = f"{path}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
+    if made_from is None or not _is_written(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def file_facts(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of change of every file at a path; empty if there is none."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    found, files = [], system.listFiles(place, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
 def _is_written(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")

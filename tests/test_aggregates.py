@@ -112,6 +112,6 @@ def test_one_hot_and_factorize(spark):
     assert (third.c_a, third.c_b, third.c_nan, third.d_x) == (0, 0, 1, 1)
     fixed, new = one_hot(df, categories={"c": ["a", "z"]})
     assert new == ["c_a", "c_z"] and "d" in fixed.columns
-    for small_rows in (100, 0):  # by broadcast, and ranked without the driver
-        coded = factorize(df, ["c", "d"], ["id"], small_rows).orderBy("id").collect()
+    for chunks in (None, 5):
+        coded = factorize(df, ["c", "d"], ["id"], chunks).orderBy("id").collect()
         assert [(r.c, r.d) for r in coded] == [(0, -1), (1, 0), (-1, 0), (0, 1)]

@@ -11,7 +11,6 @@ from entitymill.operators.folds import assign_folds
 from entitymill.operators.metrics import roc_auc
 from entitymill.operators.momentum import Momentum, entity_features, momentum, row_changes
 from entitymill.operators.ordered import group_quantiles, prefix_sums
-from entitymill.operators.skew import hot_groups
 
 SCHEMA = "k long, p long, o long, x double, y double, z double"
 
@@ -56,11 +55,11 @@ def brute_momentum(rows, scope):
 
 
 @pytest.mark.parametrize("scope", ["group", "global"])
-@pytest.mark.parametrize("hot_rows", [10**6, 100])
-def test_momentum(spark, rows, scope, hot_rows):
+@pytest.mark.parametrize("chunks", [None, 1, 40])
+def test_momentum(spark, rows, scope, chunks):
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     m = Momentum(["x", "y", "z"], "p", ["o"], "M_", scope)
-    got = momentum(df, "k", m, hot_rows=hot_rows).toPandas().set_index("k").sort_index()
+    got = momentum(df, "k", m, chunks).toPandas().set_index("k").sort_index()
     want = brute_momentum(rows, scope)
     pd.testing.assert_frame_equal(got[want.columns], want)
 
@@ -69,8 +68,8 @@ def test_forward_fill_example(spark):
     df = spark.createDataFrame(
         [(1, i, v) for i, v in enumerate([1.0, None, 3.0, 0.0, 2.0])], "k int, o int, x double"
     )
-    for hot_rows in (100, 2):
-        out = row_changes(df, "k", Momentum(["x"], "o", ["o"]), hot_rows).orderBy("o").collect()
+    for chunks in (1, 9):
+        out = row_changes(df, "k", Momentum(["x"], "o", ["o"]), chunks).orderBy("o").collect()
         assert [r.x_DIFF for r in out] == [None, None, None, -3.0, 2.0]
         assert [r.x_PCT for r in out] == [None, 0.0, 2.0, -1.0, math.inf]
 
@@ -81,14 +80,25 @@ def test_statistics_and_momentum_together(spark, rows):
     spec = {"y": ["mean", "skew", "sum", "nunique"]}
     args = (df, "k", spec, m, "S_", {"L_": "p < 3"})
     whole = entity_features(*args).toPandas().set_index("k").sort_index()
-    split = entity_features(*args, hot_rows=100).toPandas().set_index("k").sort_index()
+    split = entity_features(*args, chunks=40).toPandas().set_index("k").sort_index()
     assert list(whole.columns) == list(split.columns)
     pd.testing.assert_frame_equal(whole, split)
 
 
-def test_hot_groups_only_reports_large_ones(spark):
-    df = spark.createDataFrame([(1,)] * 50 + [(2,)] * 3 + [(None,)] * 90, "k int")
-    assert hot_groups(df, "k", 10) == {1: 50}
+def test_more_large_entities_than_chunks(spark):
+    """1,200 entities, half of them over several chunks, against the window functions of pandas."""
+    rows = [(k, 1, i, float((i * 37 + k) % 11 + 1), 1.0, 1.0) for k in range(1200) for i in range(1 + k % 40)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = momentum(df, "k", Momentum(["x"], "p", ["o"], "M_"), chunks=1500).toPandas()
+    got = got.set_index("k").sort_index()
+    want = brute_momentum(rows, "group")[got.columns]
+    pd.testing.assert_frame_equal(got, want)
+
+
+def test_open_order_of_records_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1, 5, 1.0), (1, 1, 5, 2.0), (2, 1, 5, 1.0)], "k int, p int, o int, x double")
+    with pytest.raises(Exception, match="order is open"):
+        momentum(df, "k", Momentum(["x"], "p", ["o"])).collect()
 
 
 def test_prefix_sums(spark):
@@ -103,15 +113,15 @@ def test_prefix_sums(spark):
         np.testing.assert_allclose(part.s, part.v.cumsum() - part.v)
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 50])
-def test_quantiles(spark, hot_rows):
+@pytest.mark.parametrize("chunks", [None, 9])
+def test_quantiles(spark, chunks):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": rng.choice(["a", "a", "b"], 400), "v": rng.integers(0, 60, 400) / 4})
     pdf.loc[rng.random(400) < 0.1, "v"] = np.nan
     rows = [(g, None if np.isnan(v) else float(v)) for g, v in pdf.itertuples(index=False)]
     df = spark.createDataFrame([*rows, (None, 1.0), ("only", 2.0)], "g string, v double")
     levels = [0.0, 0.1, 0.5, 0.75, 1.0]
-    got = group_quantiles(df, ["g"], "v", levels, hot_rows).toPandas()
+    got = group_quantiles(df, ["g"], "v", levels, chunks).toPandas()
     for g in ("a", "b"):
         part = got[got.g == g].sort_values("level")
         np.testing.assert_allclose(part["quantile"], pdf[pdf.g == g].v.quantile(levels))

@@ -47,16 +47,22 @@ def test_first_rows_per_table(spark, csv_folder):
 
 
 def test_whole_run(spark, csv_folder, tmp_path):
-    matrix = runs.build_matrix(spark, csv_folder, str(tmp_path / "stage"))
-    again = runs.build_matrix(spark, csv_folder, str(tmp_path / "stage"))
+    stage = str(tmp_path / "stage")
+    trial = runs.build_matrix(spark, csv_folder, stage, num_rows=20, reuse=True)
+    matrix = runs.build_matrix(spark, csv_folder, stage, reuse=True)
+    assert trial.count() <= 40 < matrix.count()
+    again = runs.build_matrix(spark, csv_folder, stage, reuse=True)
+    assert set(again.inputFiles()) == set(matrix.inputFiles())
     assert again.columns == matrix.columns and len(matrix.columns) > 1000
     few = [c for c in matrix.columns if c.startswith("NEW_")][:20]
     learner = md.random_forest(numTrees=5)
     out = {}
     for name in ("a", "b"):
         folder = str(tmp_path / name)
-        runs.train_and_write(matrix, learner, folder, k=2, features=few)
+        runs.train_and_write(matrix, learner, folder, k=2, features=few, oof_label=name == "b")
         out[name] = folder
+        kept = ["SK_ID_CURR", "TARGET", "OOF_PRED"] if name == "b" else ["SK_ID_CURR", "OOF_PRED"]
+        assert read_csv(spark, f"{folder}/oof").columns == kept
         assert read_csv(spark, f"{folder}/importance").count() == 20
     sets = {
         kind: {n: read_csv(spark, f"{f}/{kind}") for n, f in out.items()}
@@ -71,3 +77,17 @@ def test_whole_run(spark, csv_folder, tmp_path):
     blended = read_csv(spark, str(tmp_path / "blend"))
     assert blended.columns == ["SK_ID_CURR", "TARGET"]
     assert blended.count() == matrix.filter("TARGET IS NULL").count()
+
+
+def test_selected_table_and_search_runs(spark, csv_folder, tmp_path):
+    tables = derived.tables(Tables(spark, FOLDER))
+    signals = ["EXT_SOURCE_1", "EXT_SOURCE_2", "AMT_CREDIT", "AMT_ANNUITY", "DAYS_BIRTH"]
+    matrix = tables["application"].select("SK_ID_CURR", "TARGET", *signals)
+    result = runs.select_and_train(spark, matrix, str(tmp_path), md.random_forest(numTrees=3), k=2)
+    selected = spark.read.parquet(str(tmp_path / "selected"))
+    assert {"SK_ID_CURR", "TARGET"} < set(selected.columns) and result.oof.count() > 0
+    assert read_csv(spark, str(tmp_path / "oof")).count() == result.oof.count()
+    found = runs.search_and_write(
+        matrix, str(tmp_path / "best"), bounds={"max_depth": (1, 3)}, k=2, init_points=1, n_iter=1, maxIter=2
+    )
+    assert read_csv(spark, str(tmp_path / "best")).first().max_depth == pytest.approx(found.best["max_depth"])

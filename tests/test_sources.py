@@ -1,5 +1,7 @@
 """CSV reading, file order, staging and sinks."""
 
+import pytest
+
 from entitymill.sources import staging
 from entitymill.sources import tables as src
 
@@ -42,16 +44,37 @@ def test_staged_table_is_built_once(spark, tmp_path):
 
     path = str(tmp_path / "t")
     for _ in range(2):
-        assert staging.staged(build, path, spark).count() == 5
+        assert staging.staged(build, path, spark, {"rows": 5}).count() == 5
     assert len(calls) == 1
-    staging.staged(build, path, spark, reuse=False)
-    assert len(calls) == 2
+    staging.staged(build, path, spark, {"rows": 6})
+    staging.staged(build, path, spark)
+    staging.staged(build, path, spark)
+    assert len(calls) == 4
+
+
+def test_shared_dir_follows_the_session(spark, tmp_path):
+    before = spark.sparkContext.getCheckpointDir()
+    assert staging.shared_dir(spark) == before
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        assert staging.shared_dir(spark).startswith(f"file:{tmp_path}")
+        assert staging.cut_lineage(spark.range(3)).count() == 3
+        assert any(tmp_path.iterdir())
+    finally:
+        spark.sparkContext._jsc.sc().setCheckpointDir(before.rsplit("/", 1)[0])
 
 
-def test_shared_dir_follows_the_session(spark):
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    assert staging.shared_dir(spark) == folder or folder is None
-    assert staging.cut_lineage(spark.range(3)).count() == 3
+def test_further_columns_stay_and_malformed_cells_fail(spark, tmp_path):
+    path = write(tmp_path / "c.csv", "id,x,note,n\n1,2.5,a,7\n2,oops,b,8\n3,NA,c,9\n")
+    df = src.read_csv(spark, path, "id bigint, x double")
+    assert dict(df.dtypes) == {"id": "bigint", "x": "double", "note": "string", "n": "bigint"}
+    assert df.select("id", "note", "n").count() == 3
+    with pytest.raises(Exception, match="no double: oops"):
+        df.collect()
+    blank = src.read_csv(spark, path, "id bigint, x double", malformed="blank").orderBy("id")
+    assert [r.x for r in blank.collect()] == [2.5, None, None]
+    with pytest.raises(ValueError, match="malformed"):
+        src.read_csv(spark, path, malformed="drop")
 
 
 def test_sinks(spark, tmp_path):

@@ -19,8 +19,8 @@ def people(spark):
     return spark.createDataFrame(rows, "SK_ID_CURR int, TARGET double, `x.1` double, y double, z double")
 
 
-SMALL = {"maxIter": 4, "maxDepth": 3, "minInstancesPerNode": 2, "minInfoGain": 0.0,
-         "stepSize": 0.3, "featureSubsetStrategy": "all"}
+SMALL = {"maxIter": 4, "maxDepth": 3, "minInstancesPerNode": 2, "stepSize": 0.3,
+         "featureSubsetStrategy": "all"}
 LEARNERS = {
     "leaf_wise": md.leaf_wise_gbt(**SMALL),
     "depth_wise": md.depth_wise_gbt(**SMALL),
@@ -69,7 +69,7 @@ def test_parameters():
     assert md.clip_params({"subsample": 1.2, "reg_alpha": -1.0, "max_depth": 3.9}) == {
         "subsample": 1.0, "reg_alpha": 0.0, "max_depth": 3}
     assert mllib_params({"max_depth": 4.7, "min_data_in_leaf": 0.2, "gamma": 0.5}) == {
-        "maxDepth": 4, "minInstancesPerNode": 1, "minInfoGain": 0.5}
+        "maxDepth": 4, "minInstancesPerNode": 1}
 
 
 def test_search(people):
@@ -78,3 +78,60 @@ def test_search(people):
     trials = found.trials.orderBy("trial").collect()
     best = max(trials, key=lambda r: r.auc)
     assert len(trials) == 2 and found.best == {"max_depth": best.max_depth}
+
+
+@pytest.mark.parametrize("make", [lambda: md.leaf_wise_gbt(maxIter=30), lambda: md.depth_wise_gbt(maxIter=6)])
+def test_published_settings_learn(spark, make):
+    """Only the number of rounds differs from the published settings."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(16_000, 4))
+    y = (x[:, 0] + x[:, 1] + 0.3 * rng.normal(size=len(x)) > 0).astype(float)
+    rows = [(i, float(y[i]), *map(float, x[i])) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "id int, label double, a double, b double, c double, d double")
+    result = md.kfold(df, make(), "id", "label", k=2)
+    for model in result.models:
+        assert model.getNumTrees > 1 and max(t.depth for t in model.trees) > 0
+    assert all(r.auc > 0.8 for r in result.fold_auc().collect())
+
+
+def test_best_round_waits_only_so_long():
+    aucs = {1: 0.5, 2: 0.7, 3: 0.6, 4: 0.7, 5: 0.65, 6: 0.9}
+    assert md.best_round(aucs) == 6
+    assert md.best_round(aucs, patience=3) == 2
+    assert md.best_round({1: None}) is None
+
+
+def test_rounds_add_up_to_the_model(people, monkeypatch):
+    matrix, _ = md.model_matrix(people, "SK_ID_CURR", "TARGET")
+    rows = matrix.filter("label is not null")
+    model = md.gbt(**{**SMALL, "maxIter": 12}).make(0, 3).fit(rows)
+    whole = md._probability(model, rows)
+    from entitymill.operators.metrics import roc_auc_value
+
+    monkeypatch.setattr(md, "LOOKS_A_PASS", 2)
+    monkeypatch.setattr(md, "LOOK_EVERY", 4)
+    aucs = md.round_aucs(model, rows.select("features", "label"))
+    assert sorted(aucs) == [4, 8, 12]
+    assert aucs[12] == pytest.approx(roc_auc_value(whole, "label", "prediction"))
+    four = md._probability(md.some_trees(model, 0, 4), rows)
+    assert aucs[4] == pytest.approx(roc_auc_value(four, "label", "prediction"))
+
+
+def test_longer_fits_start_alike(people):
+    matrix, _ = md.model_matrix(people, "SK_ID_CURR", "TARGET")
+    rows = matrix.filter("label is not null")
+    learner = md.gbt(**{**SMALL, "subsamplingRate": 0.5})
+    short = learner.make(0, 3).fit(rows)
+    long = md.gbt(**{**SMALL, "subsamplingRate": 0.5, "maxIter": 7}).make(0, 3).fit(rows)
+    assert [t.toDebugString.split("\n", 1)[1] for t in long.trees[:4]] == [t.toDebugString.split("\n", 1)[1] for t in short.trees]
+
+
+def test_patience_keeps_the_best_round(people):
+    matrix, _ = md.model_matrix(people, "SK_ID_CURR", "TARGET")
+    rows = matrix.filter("label is not null")
+    train, held = rows.filter("SK_ID_CURR % 2 = 0"), rows.filter("SK_ID_CURR % 2 = 1")
+    estimator = md.gbt(**{**SMALL, "maxIter": 12, "stepSize": 1.0}).make(0, 3)
+    model = md.fit_patiently(estimator, train, held.select("features", "label"), patience=2)
+    full = estimator.copy({estimator.maxIter: model.getNumTrees + 2}).fit(train)
+    aucs = md.round_aucs(full, held.select("features", "label"))
+    assert model.getNumTrees == md.best_round(aucs, 2)

@@ -4,6 +4,7 @@ import pytest
 from compare import assert_same, connect
 
 import __spark_entry__ as contract
+from entitymill.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 # Their own tests train models, and r8 is part of r9.
@@ -18,9 +19,10 @@ def duck():
 
 def test_contract():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) == set(SQL) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query(spark, duck, name):
     got = contract.queries()[name](spark, FOLDER).toPandas()
     assert_same(got, duck.execute(contract.oracle_sql()[name]).df())

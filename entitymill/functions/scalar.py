@@ -61,10 +61,6 @@ def named(name: str) -> Column:
     return F.col(sql_name(name))
 
 
-def as_col(c: Column | str) -> Column:
-    return named(c) if isinstance(c, str) else c
-
-
 def num(c: Column | str) -> Column:
     return F.expr(sql_num(c)) if isinstance(c, str) else c.cast("double")
 

@@ -14,16 +14,17 @@ from entitymill.functions.scalar import sql_name, sql_no_nan
 
 # All but the distinct count need only fixed-width, partially combined buffers.
 STATS = ("mean", "sum", "min", "max", "var", "std", "skew", "size", "nunique")
-# Values that differ by no more than rounding noise count as constant.
-NOISE = "1e-12"
+# Fixed value: sums of squared and cubed deviations under this count as zero.
+NO_SPREAD = "1e-14"
 
 
 def _skew(x: str) -> str:
-    """Bias-corrected skewness: under three values NULL, constant values 0."""
-    n, g, low, high = f"double(count({x}))", f"skewness({x})", f"min({x})", f"max({x})"
-    constant = f"{high} - {low} <= {NOISE} * greatest(abs({high}), abs({low}))"
+    """Bias-corrected skewness: under three values NULL, values without spread 0."""
+    n, g, squares = f"double(count({x}))", f"skewness({x})", f"(var_pop({x}) * count({x}))"
+    cubes = f"abs({g}) * pow({squares}, 1.5) / sqrt({n})"
+    flat = f"{squares} < {NO_SPREAD} OR {cubes} < {NO_SPREAD}"
     return (
-        f"CASE WHEN {n} >= 3 AND NOT coalesce(isnan({g}), false) THEN CASE WHEN {constant} THEN 0D"
+        f"CASE WHEN {n} >= 3 AND NOT coalesce(isnan({g}), false) THEN CASE WHEN {flat} THEN 0D"
         f" ELSE {g} * sqrt({n} * ({n} - 1)) / nullif({n} - 2, 0) END END"
     )
 

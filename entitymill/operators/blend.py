@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitymill.functions.scalar import blend_of, named, num, to_binary_ends
-from entitymill.operators.attach import join_predictions
+from entitymill.operators.attach import append_all, join_predictions
 from entitymill.operators.metrics import roc_auc, score_table
 from entitymill.operators.ordered import pick_quantiles, prefix_sums
 from entitymill.sources.staging import cut_lineage
@@ -18,6 +18,7 @@ from entitymill.sources.staging import cut_lineage
 # The quantile levels tried on either side.
 LOW_LEVELS = (0.0, 0.10001, 0.0001)
 HIGH_LEVELS = (0.9, 1.0001, 0.0001)
+MODES = ("level_as_value", "quantile_value")
 
 
 def levels(start: float, stop: float, step: float) -> list[float]:
@@ -29,10 +30,18 @@ def blend(
     weights: Sequence[float],
     id_col: str,
     prediction: str = "TARGET",
+    ids: DataFrame | None = None,
 ) -> DataFrame:
-    """Weighted sum of several prediction sets, matched by id."""
+    """Weighted sum of several prediction sets, matched by id.
+
+    The result has a row for every id of ``ids``, or of any set if none is given; it
+    is missing where a set has no prediction for the id.
+    """
     names = list(frames)
-    base = frames[names[0]].select(named(id_col))
+    if ids is None:
+        base = append_all([f.select(named(id_col)) for f in frames.values()]).distinct()
+    else:
+        base = ids.select(named(id_col))
     joined = join_predictions(base, frames, id_col, prediction, drop_incomplete=False)
     return joined.select(named(id_col), blend_of(names, weights).alias(prediction))
 
@@ -47,6 +56,8 @@ def threshold_scan(
     so each AUC follows from running totals up to the threshold; the scores are
     sorted once for all levels. Scores must lie in [0, 1].
     """
+    if side not in ("low", "high"):
+        raise ValueError(f"side must be 'low' or 'high', not {side!r}")
     grid = list(grid) if grid is not None else levels(*(LOW_LEVELS if side == "low" else HIGH_LEVELS))
     table = score_table(df, label, score).withColumn("n", F.col("pos") + F.col("neg"))
     sums = {"n_before": F.col("n"), "pos_before": F.col("pos"), "neg_before": F.col("neg")}
@@ -126,6 +137,7 @@ def find_cutoffs(
     ``mode="level_as_value"`` cuts scores at the winning quantile *level*;
     ``"quantile_value"`` cuts them at the score found at that level.
     """
+    _check_mode(mode)
     low, low_at = best_level(threshold_scan(df, label, score, "low", low_grid))
     cut = low if mode == "level_as_value" else low_at
     low_cut = df if cut is None else apply_cutoffs(df, score, cut, 1.0)
@@ -133,12 +145,18 @@ def find_cutoffs(
     return Cutoffs(low, low_at, high, high_at)
 
 
+def _check_mode(mode: str) -> None:
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+
+
 def apply_cutoffs(df: DataFrame, score: str, low: float, high: float) -> DataFrame:
     """Scores under ``low`` become 0 and scores over ``high`` become 1."""
     return df.withColumn(score, to_binary_ends(score, low, high))
 
 
 def cut_by(df: DataFrame, score: str, cutoffs: Cutoffs, mode: str = "level_as_value") -> DataFrame:
+    _check_mode(mode)
     by_level = mode == "level_as_value"
     low = cutoffs.low_level if by_level else cutoffs.low_threshold
     high = cutoffs.high_level if by_level else cutoffs.high_threshold
@@ -148,7 +166,10 @@ def cut_by(df: DataFrame, score: str, cutoffs: Cutoffs, mode: str = "level_as_va
 def weight_scan(
     df: DataFrame, label: str, first: str, second: str, weights: Sequence[float]
 ) -> DataFrame:
-    """AUC of ``w * first + (1 - w) * second`` for every weight: (weight, auc)."""
+    """AUC of ``w * first + (1 - w) * second`` for every weight: (weight, auc).
+
+    Rows are multiplied by the weights before they are combined by score.
+    """
     grid = F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("weight")
     rows = df.select(named(label), num(first).alias("_a"), num(second).alias("_b"), grid)
     mixed = F.col("weight") * F.col("_a") + (1 - F.col("weight")) * F.col("_b")

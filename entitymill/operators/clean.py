@@ -27,10 +27,6 @@ def feature_columns(df: DataFrame, not_features: Sequence[str] = NOT_FEATURES) -
     return [c for c in df.columns if c not in not_features]
 
 
-def new_columns(df: DataFrame, before: Sequence[str]) -> list[str]:
-    return [c for c in df.columns if c not in before]
-
-
 def drop_where(df: DataFrame, column: str, value) -> DataFrame:
     """Drop rows with the value; rows where the column is missing stay."""
     return df.filter(differs(column, value))

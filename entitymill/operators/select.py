@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
@@ -71,24 +72,27 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return np.clip(r, -1.0, 1.0)
 
 
+def _pairs(df: DataFrame, columns: Sequence[str]):
+    """(earlier column, later column, correlation or NaN) for all pairs of columns."""
+    r = correlation_matrix(df, columns)
+    for (i, a), (j, b) in combinations(enumerate(columns), 2):
+        yield a, b, float(r[i, j])
+
+
 def correlated_columns(df: DataFrame, threshold: float = CORRELATION) -> list[str]:
     """Numeric columns that correlate beyond the threshold with an earlier one."""
     columns = numeric_columns(df)
-    strong = np.triu(np.abs(correlation_matrix(df, columns)), k=1) > threshold
-    hits = strong.any(axis=0)
-    return [c for c, hit in zip(columns, hits, strict=True) if hit and LABEL_PART not in c]
+    later = {b for _, b, r in _pairs(df, columns) if abs(r) > threshold and LABEL_PART not in b}
+    return [c for c in columns if c in later]
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows (feature_a, feature_b, correlation), earlier column first."""
+    """Rows (feature_a, feature_b, correlation), earlier column first.
+
+    The number of rows follows from the columns, not from the data.
+    """
     columns = numeric_columns(df) if columns is None else list(columns)
-    r = correlation_matrix(df, columns)
-    rows = [
-        (a, b, None if np.isnan(r[i, j]) else float(r[i, j]))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if i < j
-    ]
+    rows = [(a, b, None if np.isnan(r) else r) for a, b, r in _pairs(df, columns)]
     schema = "feature_a string, feature_b string, correlation double"
     return df.sparkSession.createDataFrame(rows, schema)
 

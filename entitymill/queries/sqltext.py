@@ -45,8 +45,10 @@ def stat(name: str, values: str, rows: str, guard: str) -> str:
         s2 = f"list_sum(list_transform({finite}, lambda v: pow(v - {m}, 2)))"
         s3 = f"list_sum(list_transform({finite}, lambda v: pow(v - {m}, 3)))"
         n = f"len({values})"
-        low, high = f"list_min({values})", f"list_max({values})"
-        constant = f"{high} - {low} <= 1e-12 * greatest(abs({high}), abs({low}))"
+        constant = (
+            f"list_min({values}) = list_max({values}) or {s2} < 0.00000000000001"
+            f" or abs({s3}) < 0.00000000000001"
+        )
         g1 = f"sqrt({n}) * {s3} / pow({s2}, 1.5)"
         e = (
             f"(case when {n} < 3 or {has_inf} then null when {constant} then 0"

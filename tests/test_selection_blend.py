@@ -137,3 +137,31 @@ def test_weight_scan(spark, scored):
     for row in got.collect():
         mixed = (row.weight * pdf.s + (1 - row.weight) * pdf.r).to_numpy()
         assert row.auc == pytest.approx(brute_auc(pdf.y.to_numpy(), mixed), abs=1e-9)
+
+
+def test_blend_keeps_every_listed_id(spark):
+    a = spark.createDataFrame([(1, 0.5), (2, 0.25)], "id int, TARGET double")
+    b = spark.createDataFrame([(2, 0.75), (3, 1.0)], "id int, TARGET double")
+    found = {r.id: r.TARGET for r in bl.blend({"a": a, "b": b}, [0.5, 0.5], "id").collect()}
+    assert found == {1: None, 2: 0.5, 3: None}
+    ids = spark.createDataFrame([(2,), (9,)], "id int")
+    listed = bl.blend({"a": a, "b": b}, [0.5, 0.5], "id", ids=ids).collect()
+    assert {r.id: r.TARGET for r in listed} == {2: 0.5, 9: None}
+
+
+def test_unknown_modes_are_refused(spark):
+    df = spark.createDataFrame([(1, 0.5)], "y int, s double")
+    with pytest.raises(ValueError, match="mode"):
+        bl.find_cutoffs(df, "y", "s", "quantile")
+    with pytest.raises(ValueError, match="mode"):
+        bl.cut_by(df, "s", bl.Cutoffs(None, None, None, None), "level")
+    with pytest.raises(ValueError, match="side"):
+        bl.threshold_scan(df, "y", "s", "middle")
+
+
+def test_quantile_lookup_joins_on_no_literal(spark):
+    from entitymill.operators.ordered import group_quantiles
+
+    df = spark.range(100).selectExpr("double(id) as v")
+    plan = group_quantiles(df, [], "v", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "_one" not in plan

@@ -58,6 +58,8 @@ def digest_state(
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Many small stores: don't reserve disk space for each of their files.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
         own.conf.set(key, spark.conf.get(key))
     schema = spark.read.parquet(path).schema

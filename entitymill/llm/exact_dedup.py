@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from entitymill.llm.common import SPACE, free_name, scratch, written
 
+#: Tasks that share the rows of a digest while their bytes are compared.
+SPREAD = 32
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -58,8 +60,11 @@ def digest_state(
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    # Many small stores: don't reserve disk space for each of their files.
+    # Many small stores: don't reserve disk space for each of their files, and share one
+    # bounded memory among those of an executor.
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "64")
     for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
         own.conf.set(key, spark.conf.get(key))
     schema = spark.read.parquet(path).schema
@@ -100,9 +105,11 @@ def mark_duplicates(
     files = spark.read.parquet(path)
     rows = _rows(files, id_col, text_col, digest)
 
-    # Full bytes of all hits: equal bytes meet in one group, copies of a task as one row.
-    hits = state.where("n > 1").select("digest")
-    checked = rows.join(hits.hint("shuffle_hash"), "digest", "left_semi")
+    # Full bytes of all hits. The rows of a digest are dealt over several tasks, each of
+    # which sends on one row of what has equal bytes.
+    hits = state.where("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(SPREAD)).cast("int"))
+    checked = dealt.join(hits.hint("shuffle_hash"), ["digest", "part"], "left_semi")
     checked = checked.groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.max("place").alias("place"))
     classes = written(checked.select("digest", "n", "place"), "dedup-checked")
     mixed = written(classes.groupBy("digest").agg(F.count("*").alias("m")).where("m > 1").select("digest"), "dedup-mixed")

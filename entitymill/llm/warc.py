@@ -190,13 +190,13 @@ def reachable(found: DataFrame) -> DataFrame:
     reached = written(found.where("at = 0").select("file", "at"), "warc-reached")
     starts = found.select("file", "at")
     jumps = found.select("file", F.col("at").alias("from"), F.col("to").alias("at"))
-    jumps = written(jumps.join(starts, ["file", "at"], "left_semi").select("file", "from", F.col("at").alias("to")), "warc-jumps")
+    jumps = written(jumps.join(starts.hint("shuffle_hash"), ["file", "at"], "left_semi").select("file", "from", F.col("at").alias("to")), "warc-jumps")
     while not jumps.isEmpty():
         heads = reached.select("file", F.col("at").alias("from"))
-        more = heads.join(jumps, ["file", "from"]).select("file", F.col("to").alias("at"))
+        more = heads.join(jumps.hint("shuffle_hash"), ["file", "from"]).select("file", F.col("to").alias("at"))
         reached = written(reached.unionAll(more), "warc-reached")
         second = jumps.select("file", F.col("from").alias("to"), F.col("to").alias("end"))
-        jumps = jumps.join(second, ["file", "to"]).select("file", "from", F.col("end").alias("to"))
+        jumps = jumps.join(second.hint("shuffle_hash"), ["file", "to"]).select("file", "from", F.col("end").alias("to"))
         jumps = written(jumps, "warc-jumps")
     return reached
 
@@ -209,4 +209,4 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     """
     found = written(candidates(spark, path, payloads), "warc-candidates")
     kept = reachable(found.select("file", "at", "to"))
-    return found.join(kept, ["file", "at"], "left_semi")
+    return found.join(kept.hint("shuffle_hash"), ["file", "at"], "left_semi")

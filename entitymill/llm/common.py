@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from entitymill.sources.staging import shared_dir
@@ -35,16 +36,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def blocks(values: list, most: int) -> Iterator[tuple[int, int]]:
-    """Runs [a, b) of ``values`` with about ``most`` bytes each, at least one value."""
+def text_blocks(values: pa.Array, most: int) -> Iterator[tuple[int, list]]:
+    """(place of the first, texts as bytes or None) of runs of about ``most`` bytes, one text at least."""
+    values = values.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
     a = size = 0
-    for b, v in enumerate(values):
-        size += len(v or b"")
-        if size >= most:
-            yield a, b + 1
-            a, size = b + 1, 0
-    if a < len(values):
-        yield a, len(values)
+    for b, n in enumerate(sizes, 1):
+        size += n
+        if size >= most or b == len(sizes):
+            yield a, values.slice(a, b - a).to_pylist()
+            a, size = b, 0
 
 
 def map_texts(
@@ -53,7 +54,7 @@ def map_texts(
     keep: Sequence[str],
     schema: str,
     work: Callable[[], Callable[[list], dict[str, Sequence]]],
-    block_bytes: int = 8_000_000,
+    block_bytes: int = 2_000_000,
 ) -> DataFrame:
     """``work()`` once per task gives a function from a list of UTF-8 texts (bytes
     or None) to columns; the result has the columns ``keep`` and those of ``schema``,
@@ -71,10 +72,9 @@ def map_texts(
         function = work()
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            for a, b in blocks(texts, block_bytes):
-                columns = function(texts[a:b])
-                part = batch.slice(a, b - a)
+            for a, texts in text_blocks(batch.column(at), block_bytes):
+                columns = function(texts)
+                part = batch.slice(a, len(texts))
                 arrays = [part.column(part.schema.get_field_index(c)) for c in keep]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x) for x in (columns[c] for c in added)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *added])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitymill.llm.common import blocks, map_texts
+from entitymill.llm.common import map_texts, text_blocks
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -48,13 +48,13 @@ def gram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in blocks(texts, 64_000_000):
-                for lang in dict.fromkeys(langs[a:b]):
+            for a, texts in text_blocks(batch.column(1), 16_000_000):
+                some = langs[a : a + len(texts)]
+                for lang in dict.fromkeys(some):
                     total = np.zeros(BUCKETS, np.int64)
-                    for i in range(a, b):
-                        if langs[i] == lang:
-                            total += np.bincount(gram_buckets(texts[i]), minlength=BUCKETS)
+                    for text, of in zip(texts, some, strict=True):
+                        if of == lang:
+                            total += np.bincount(gram_buckets(text), minlength=BUCKETS)
                     at = np.flatnonzero(total)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])],
@@ -122,8 +122,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
         docs = docs.where(F.coalesce(remainder != held, F.lit(True)))
     found = gram_counts(docs, lang_col, text_col).toPandas()
     names = sorted(set(found["_lang"]))
-    table = np.zeros((len(names), BUCKETS))
-    table[[names.index(x) for x in found["_lang"]], found["bucket"]] = found["n"]
+    table, place = np.zeros((len(names), BUCKETS)), {n: i for i, n in enumerate(names)}
+    table[found["_lang"].map(place).astype(int), found["bucket"]] = found["n"]
     table += smooth
     return Languages(names, table / table.sum(axis=1, keepdims=True))
 

@@ -61,7 +61,7 @@ class ByteNet:
         z[(ends[:, None] - np.arange(1, WIDTH)).ravel()] = 0
         return z
 
-    def pooled(self, texts: list, most: int = 512) -> np.ndarray:
+    def pooled(self, texts: list, most: int = 256) -> np.ndarray:
         """Per text, mean and maximum over its chunks of the chunks' maxima."""
         flat, counts, ends = chunked(texts)
         best = np.empty((int(counts.sum()), FILTERS), np.float32)
@@ -177,7 +177,7 @@ def scored(docs: DataFrame, net: ByteNet, keep, text_col: str = "text", score: s
     def work():
         return lambda texts: {score: pa.array(net.score(texts), pa.float64())}
 
-    return map_texts(docs, text_col, list(keep), f"{score} double", work, block_bytes=1_000_000)
+    return map_texts(docs, text_col, list(keep), f"{score} double", work, block_bytes=500_000)
 
 
 def score_quality(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, folds: int = 5) -> DataFrame:

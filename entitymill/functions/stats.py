@@ -43,9 +43,12 @@ def sql_stat(name: str, column: str, subset: str | None = None) -> str:
         # 0 where nothing was there to sum, NULL where the sum is undefined.
         e = f"coalesce({sql_no_nan(f'sum({x})')}, CASE WHEN count({x}) = 0 THEN 0D END)"
         return e if subset is None else f"CASE WHEN {guard} > 0 THEN {e} END"
-    plain = {"mean": "avg", "var": "var_samp", "std": "stddev_samp"}
-    if name in plain:
-        return sql_no_nan(f"{plain[name]}({x})")
+    if name == "mean":
+        return sql_no_nan(f"avg({x})")
+    if name in ("var", "std"):
+        # From the same moments as the skewness, so that both share one buffer.
+        e = f"CASE WHEN count({x}) > 1 THEN var_pop({x}) * count({x}) / (count({x}) - 1) END"
+        return sql_no_nan(e if name == "var" else f"sqrt({e})")
     if name in ("min", "max"):
         return f"{name}({x})"
     if name == "skew":

@@ -87,25 +87,44 @@ def one_hot(
     return df.select(*kept, *[e.alias(n) for n, e in new.items()]), list(new)
 
 
-def _first_seen(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def first_seen(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """(column, value, first): every value of the columns and where it appears first.
+
+    One pass over the rows, written; it serves ``factorize`` and ``categories_of``.
+    """
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column"), named(c).alias("value")) for c in columns]
     )
     order = F.struct(*[named(c) for c in order_by]).alias("first")
     values = df.select(order, F.inline(pairs)).filter(F.col("value").isNotNull())
-    return values.groupBy("column", "value").agg(F.min("first").alias("first"))
+    return cut_lineage(values.groupBy("column", "value").agg(F.min("first").alias("first")))
+
+
+def categories_of(firsts: DataFrame, columns: Sequence[str], missing: bool = True) -> dict[str, list]:
+    """``find_categories`` from what ``first_seen`` found."""
+    found: dict[str, list] = {c: [] for c in columns}
+    for row in firsts.filter(F.col("column").isin(list(columns))).select("column", "value").collect():
+        found[row["column"]].append(row["value"])
+    return {c: sorted(v) + ([MISSING] if missing else []) for c, v in found.items()}
 
 
 def factorize(
-    df: DataFrame, columns: Sequence[str], order_by: Sequence[str], chunks: int | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    order_by: Sequence[str],
+    chunks: int | None = None,
+    firsts: DataFrame | None = None,
 ) -> DataFrame:
     """Replace values by codes 0, 1, ... in order of first appearance.
 
     Missing values get -1. ``order_by`` must order the rows totally. Distinct
     values are ranked by running counts and joined; the plan broadcasts the
-    codes of a column if their bytes turn out small.
+    codes of a column if their bytes turn out small. ``firsts`` is what
+    ``first_seen`` found, if it was asked already.
     """
-    firsts = _first_seen(df, columns, order_by)
+    if firsts is None:
+        firsts = first_seen(df, columns, order_by)
+    firsts = firsts.filter(F.col("column").isin(list(columns)))
     ranked = prefix_sums(firsts, ["column"], ["first"], {"code": F.lit(1)}, chunks=chunks)
     ranked = cut_lineage(ranked)
     for c in columns:

@@ -30,7 +30,7 @@ from entitymill.functions.scalar import (
     sql_ratio,
 )
 from entitymill.operators.aggregate import Spec, entity_agg, share_columns, stat_columns
-from entitymill.operators.attach import attach
+from entitymill.operators.attach import attach_all
 from entitymill.operators.ordered import chunk_by_order
 
 CHANGES = ("DIFF", "PCT")
@@ -79,11 +79,15 @@ def entity_features(
     categories: Mapping[str, Sequence] | None = None,
     extra: Sequence[Column] = (),
     chunks: int | None = None,
+    subset_spec: Spec | None = None,
 ) -> DataFrame:
     """``entity_agg`` and momentum of the same rows, from the same chunks.
 
-    The rows are shuffled once, into checkpointed chunks; after that only
-    summaries move, and the columns that momentum follows.
+    The rows are shuffled once, into written chunks; after that only
+    summaries move, and the columns that momentum follows. ``subsets`` maps further
+    prefixes to row conditions in SQL: the same statistics (or those of
+    ``subset_spec``) over those rows only, NULL for entities without any. A row is added up once, and once more per subset that it
+    belongs to.
     """
     df = df.filter(named(key).isNotNull())
     if m.scope == "global":
@@ -92,7 +96,10 @@ def entity_features(
     changes = _stitch(_summaries(rows, key, m), key, m)
     if not (spec or categories or extra):
         return changes
-    return attach(entity_agg(rows, key, spec, prefix, subsets, categories, extra), changes, key)
+    whole = entity_agg(rows, key, spec, prefix, categories=categories, extra=extra)
+    part = spec if subset_spec is None else subset_spec
+    parts = [entity_agg(rows.filter(c), key, part, p) for p, c in (subsets or {}).items()]
+    return attach_all(whole, [*parts, changes], key)
 
 
 def _mark_global_final(df: DataFrame, key: str, m: Momentum) -> DataFrame:
@@ -139,6 +146,8 @@ def _with_changes(df: DataFrame, within: Sequence[str], m: Momentum) -> DataFram
         "*",
         F.max(named(m.account)).over(group).alias("_newest"),
         (F.lag(order).over(in_order) == order).alias("_repeats"),
+        (F.row_number().over(in_order) == 1).alias("_is_first"),
+        F.lead(F.lit(True)).over(in_order).isNull().alias("_is_last"),
     )
     final = (
         F.col("_is_latest")
@@ -154,23 +163,23 @@ def _summaries(chunks: DataFrame, key: str, m: Momentum) -> DataFrame:
     if m.scope == "global":
         used["_is_latest"] = None
     records = _with_changes(chunks.select(*[named(c) for c in used]), [key, "_chunk"], m)
-    order = F.struct(*[named(c) for c in m.order_by])
-    final = F.col("_final")
+    final, first, last = F.col("_final"), F.col("_is_first"), F.col("_is_last")
     summary = [
         F.max("_newest").alias("_newest"),
-        F.min_by(final, order).alias("_first_final"),
+        F.max(F.when(first, final)).alias("_first_final"),
         F.count(F.when(F.col("_repeats"), 1)).alias("_repeats"),
     ]
     for i, f in enumerate(m.features):
         x = num(f)
-        known_order = F.when(x.isNotNull(), order)
+        first_known = x.isNotNull() & F.col(f"_before{i}").isNull()
         leading = F.col(f"_known{i}").isNull()
+        # One row at most is first, last or first known, so its value is the greatest.
         summary += [
-            F.min_by(x, order).alias(f"_first{i}"),
-            F.max_by(x, order).alias(f"_last{i}"),
-            F.min_by(x, known_order).alias(f"_first_known{i}"),
-            F.min_by(final, known_order).alias(f"_first_known_final{i}"),
-            F.max_by(x, known_order).alias(f"_last_known{i}"),
+            F.max(F.when(first, x)).alias(f"_first{i}"),
+            F.max(F.when(last, x)).alias(f"_last{i}"),
+            F.max(F.when(first_known, x)).alias(f"_first_known{i}"),
+            F.max(F.when(first_known, final)).alias(f"_first_known_final{i}"),
+            F.max(F.when(last, F.col(f"_known{i}"))).alias(f"_last_known{i}"),
             F.count(F.when(leading, 1)).alias(f"_leading{i}"),
             F.count(F.when(leading & final, 1)).alias(f"_leading_final{i}"),
         ]

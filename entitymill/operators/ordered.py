@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitymill.functions.scalar import named, no_nan, num, sql_value
-from entitymill.sources.staging import cut_lineage
+from entitymill.sources.staging import cut_lineage, written
 
 
 def prefix_sums(
@@ -27,7 +27,7 @@ def prefix_sums(
     """Add columns with the sum of ``sums`` over all earlier rows of the group.
 
     ``order_by`` must order the rows of a group totally. The chunked frame is
-    checkpointed, because it is read twice and must number its chunks alike.
+    written, because it is read twice and must number its chunks alike.
     """
     chunked = chunk_by_order(df, [*groups, *order_by], chunks)
     keys = [*groups, "_chunk"]
@@ -58,14 +58,14 @@ def prefix_sums(
 
 
 def chunk_by_order(df: DataFrame, by: Sequence[str], chunks: int | None = None) -> DataFrame:
-    """Range partitions of ``df`` with their number as ``_chunk``, checkpointed.
+    """Range partitions of ``df`` with their number as ``_chunk``, written.
 
     How many follows from the bytes of the rows, unless ``chunks`` says it. Results
     that are put together from chunks do not depend on it.
     """
     columns = [named(c) for c in by]
     ranged = df.repartitionByRange(*columns) if chunks is None else df.repartitionByRange(chunks, *columns)
-    return cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id()))
+    return written(ranged.withColumn("_chunk", F.spark_partition_id()))
 
 
 def group_quantiles(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder, and read from there.
+
+    Like a checkpoint it cuts the lineage, but later reads take only the columns that
+    they need, and nothing is computed twice on the way.
+    """
+    path = f"{shared_dir(df.sparkSession)}/entitymill/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(build, path: str, spark: SparkSession, made_from: Mapping | None = None) -> DataFrame:
     """Feature table written under ``path``, and read from there.
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import uuid
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     ``setCheckpointDir`` names. A session without one is refused; ``session.py``
     has ``ensure_shared_dir`` for local sessions.
     """
+    share_code(spark)
     folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,6 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Where executors don't share that place, the package has to be installed there or
+    sent along with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    places = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in places:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *places])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes the rows and their partitions."""
     shared_dir(df.sparkSession)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from entitymill.sources.staging import shared_dir
+from entitymill.sources.staging import share_code, shared_dir
 
 #: White space of all operators: blank, tab, line feed, vertical tab, form feed, carriage return.
 #: ``bytes.split()`` without arguments splits at exactly these.
@@ -63,6 +63,7 @@ def map_texts(
     Texts come in blocks of about ``block_bytes``, so memory follows the block and
     the longest text, not the partition.
     """
+    share_code(docs.sparkSession)
     source = docs.select(*[docs[f"`{c}`"] for c in dict.fromkeys([*keep, text])])
     fields = [source.schema[c] for c in keep]
     full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), schema])

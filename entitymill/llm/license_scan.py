@@ -1,9 +1,11 @@
 """License scans by sentence recognition, with DataFrame functions only.
 
-A text is split into sentences; a sentence that is not known as a whole is split into
-its lines. Normalised sentences that are known become identifiers, one letter each, so
-a text becomes a short string. Licences are ordered rules over that string: at every
-place the first rule whose sequence stands there counts and uses it up.
+Sentences may begin and end at sentence marks, colons, line ends and bullets. Between
+two such places a known sentence is found however it is wrapped: any of them may also
+stand inside it, as an empty line does before an address. Of sentences that begin at
+the same place the longest counts. Normalised sentences become identifiers, one letter
+each, so a text becomes a short string. Licences are ordered rules over that string: at
+every place the first rule whose sequence stands there counts and uses it up.
 """
 
 from __future__ import annotations
@@ -90,6 +92,10 @@ ANCHORS = ["licen", "permission", "copyright", "warrant", "liab", "redistribut",
 
 #: The end of a sentence: its mark and white space, or an empty line.
 SENTENCE_END = r"[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09]*\n"
+#: Where a sentence may begin or end besides: a colon and white space, a line end.
+PLACE = r"[.!?:]+[\x20\x09-\x0D]+|[\x0A-\x0D]"
+#: The number or letter of a list item, with what stands before it in its line.
+ITEM = r"(?m)^([^a-z0-9\x0A-\x0D]*(?:[0-9]{1,3}|[a-z]|[ivx]{2,5})[)\]])"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -130,17 +136,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     known, coded = _catalogue(sentences or SENTENCES, rules or RULES)
 
-    def code(part: Column) -> Column:
-        normal = F.regexp_replace(F.translate(part, UPPER, LOWER), "[^a-z0-9]+", " ")
-        return F.coalesce(_lookup(list(known.items()), F.trim(normal)), F.lit(""))
-
-    def codes_of(sentence: Column) -> Column:
-        lines = F.transform(F.split(sentence, "\n", -1), code)
-        return F.when(code(sentence) != "", code(sentence)).otherwise(F.array_join(lines, ""))
-
     text = F.coalesce(F.col("_text"), F.lit(""))
     anchored = text.rlike("(?i)" + "|".join(ANCHORS))
-    whole = F.array_join(F.transform(F.split(text, SENTENCE_END, -1), codes_of), "")
+    # Marks at all places, then words with a blank or a mark between them.
+    lowered = F.translate(text, UPPER + "|", LOWER + " ")
+    placed = F.regexp_replace(F.regexp_replace(lowered, ITEM, "$1|"), PLACE, "|")
+    placed = F.concat(F.lit("|"), placed, F.lit("|"))
+    words = F.regexp_replace(F.regexp_replace(placed, r"[^a-z0-9|]*\|[^a-z0-9]*", "|"), "[^a-z0-9|]+", " ")
+    longest_first = sorted(known, key=len, reverse=True)
+    pattern = r"\|(?:" + "|".join(k.replace(" ", "[ |]") for k in longest_first) + r")(?=\|)"
+    sentence = F.regexp_extract_all(words, F.lit(pattern), F.lit(0))
+    letters = F.transform(sentence, lambda m: _lookup(list(known.items()), F.trim(F.translate(m, "|", " "))))
+    whole = F.array_join(letters, "")
     found = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"))
     found = found.select(F.col(f"`{id_col}`"), F.when(anchored, whole).otherwise(F.lit("")).alias("codes"))
     matched = F.regexp_extract_all("codes", F.lit("|".join(c for c, _ in coded)), F.lit(0))
@@ -155,7 +162,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def license_sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
-    """DuckDB SQL for the rows of ``scan_licenses``, without its search for anchor words."""
+    """DuckDB SQL for the rows of ``scan_licenses``, without its search for anchor words, where
+    every sentence stands alone between ``SENTENCE_END`` marks or on a line of its own."""
     known, coded = _catalogue(SENTENCES, RULES)
 
     def case(pairs, key):

@@ -33,6 +33,45 @@ def test_sequences_and_order_of_rules(spark):
     ) == ["MIT", "MIT", "BSD-3-Clause", "BSD-2-Clause", "", "ISC", "MIT,CC-BY-NC-4.0", "Apache-2.0,GPL-3.0-only", "", ""]
 
 
+def wrapped(*names, first="", indent=""):
+    return textwrap.fill(" ".join(s.SENTENCES[n] for n in names), 72, initial_indent=first, subsequent_indent=indent)
+
+
+def test_wrapped_texts(spark):
+    items = ["bsdSource", "bsdBinary", "bsdEndorse"]
+
+    def bsd(*marks, gap="\n"):
+        listed = [wrapped(n, first=m, indent="   ") for n, m in zip(items, marks, strict=False)]
+        return gap.join(["Copyright (c) 2020, Foo", wrapped("bsdUse"), *listed])
+
+    apache = "\n\n".join(
+        [
+            wrapped("apacheHeader") + "\nYou may obtain a copy of the License at",
+            "    http://www.apache.org/licenses/LICENSE-2.0",
+            wrapped("apacheAsIs", "apacheSee"),
+        ]
+    )
+    mit = wrapped("mitGrant") + "\n\n" + wrapped("mitNotice") + "\n\n" + wrapped("mitAsIs", "mitLiable")
+    texts = {
+        bsd("* ", "* ", "* "): "BSD-3-Clause",
+        bsd("1. ", "2. ", "3. ", gap="\n\n"): "BSD-3-Clause",
+        bsd("(a) ", "(b) "): "BSD-2-Clause",
+        textwrap.indent(bsd("1) ", "2) ", "3) "), " * ", lambda line: True): "BSD-3-Clause",
+        bsd("* ", "* ").replace("\n", "\r\n"): "BSD-2-Clause",
+        " * ".join(s.SENTENCES[n] for n in ("bsdUse", "bsdSource", "bsdBinary")): "BSD-2-Clause",
+        "MIT License\nCopyright (c) 2020 Foo\n" + mit: "MIT",
+        mit + "\n" + apache: "MIT,Apache-2.0",
+        apache + "\nno mark here\n" + wrapped("iscGrant"): "Apache-2.0,ISC",
+        textwrap.indent(apache, "// ", lambda line: True): "Apache-2.0",
+        "This work is licensed under the GNU General Public License, version\n3. Foo": "GPL-3.0-only",
+        "Licensed under the Apache License, Version 2.0\n" + wrapped("apacheHeader")[47:]: "Apache-2.0",
+        "Redistributions of source code must\nnot retain the above copyright notice": "",
+    }
+    assert licenses(spark, *texts) == list(texts.values())
+    apache_codes = s.scan_licenses(documents(spark, [(1, apache)])).first()
+    assert (apache_codes.n_sentences, apache_codes.n_rules) == (4, 1)
+
+
 def test_every_sentence_is_recognised_alone(spark):
     names = list(s.SENTENCES)
     got = s.scan_licenses(documents(spark, [(i, f"A word.\n{s.SENTENCES[n]}\nAnother.") for i, n in enumerate(names)])).collect()

@@ -39,8 +39,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of fixed-length token sequences along the curve."""
-    return packing.pack(docs).drop("ids")
+    """Pieces of fixed-length token sequences along the curve, with their ids, for ``packing.sequences``."""
+    return packing.pack(docs)
 
 
 STAGES = [

@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from edge_cases import documents, empty
 
@@ -70,3 +71,17 @@ def test_run_is_registered(spark):
 
     assert contract.queries()["pipeline"](spark, FOLDER).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_sequences_of_the_output_hold_all_tokens(spark):
+    pieces = corpus_pipeline.run(spark, FOLDER).cache()
+    by_id = {}
+    for s in packing.sequences(pieces).collect():
+        assert s.length == sum(len(p.ids) // 4 for p in s.pieces)
+        for p in s.pieces:
+            by_id.setdefault(p.doc_id, []).append((p.start, bytes(p.ids)))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+    want = {r.doc_id: np.frombuffer(r.ids, "<u2").astype("<u4").tobytes() for r in packing.tokenized(docs).collect()}
+    assert {i: b"".join(ids for _, ids in sorted(pieces)) for i, pieces in by_id.items()} == want

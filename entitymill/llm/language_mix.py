@@ -21,6 +21,8 @@ from entitymill.llm.common import map_texts, text_blocks
 
 GRAM = 4
 BUCKETS = 1 << 16
+#: Languages that are learned at most: their counts come to the driver and go to every task.
+MOST_LANGUAGES = 100
 #: Result where a text is null or has no letter.
 UNKNOWN = "und"
 
@@ -113,13 +115,18 @@ def _em(chance: np.ndarray, weight: np.ndarray, rounds: int = 40, close: float =
     return share, float(weight @ np.log(share @ chance))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", folds: int | None = 4, held: int = 2, smooth: float = 0.5) -> Languages:
+def learn(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", folds: int | None = 4, held: int = 2, smooth: float = 0.5, most: int = MOST_LANGUAGES) -> Languages:
     """Languages from all rows with text and language, but for ids whose crc32 modulo
     ``folds`` is ``held`` (null ids are learned from). The driver gets ``BUCKETS``
-    counts per language."""
+    counts per language; with more than ``most`` languages nothing is learned but a
+    ValueError raised, as none may be left out."""
     if folds:
         remainder = F.crc32(F.col(f"`{id_col}`").cast("string")) % folds
         docs = docs.where(F.coalesce(remainder != held, F.lit(True)))
+    labelled = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
+    n = labelled.select(F.col(f"`{lang_col}`").cast("string")).distinct().count()
+    if n > most:
+        raise ValueError(f"{n} values in {lang_col}, but at most {most} languages can be learned")
     found = gram_counts(docs, lang_col, text_col).toPandas()
     names = sorted(set(found["_lang"]))
     table, place = np.zeros((len(names), BUCKETS)), {n: i for i, n in enumerate(names)}

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from edge_cases import PROSE, documents, empty
 
 from entitymill.llm import language_mix as lm
@@ -60,6 +61,17 @@ def test_edge_rows(spark):
     assert {r.lang_pred for r in lm.identify(documents(spark), nothing).collect()} == {"und"}
 
 
+def test_too_many_languages_are_refused(spark):
+    rows = [(i, f"l{i}", PROSE if i < 5 else None) for i in range(lm.MOST_LANGUAGES + 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert lm.learn(docs, folds=None).names == ["l0", "l1", "l2", "l3", "l4"]
+    assert len(lm.learn(docs, folds=None, most=5).names) == 5
+    with pytest.raises(ValueError, match="5 values in lang"):
+        lm.learn(docs, folds=None, most=4)
+    with pytest.raises(ValueError, match="at most 100"):
+        lm.learn(docs.withColumn("text", docs.lang), folds=None)
+
+
 def test_held_out_accuracy(spark):
     import __spark_entry__ as contract
 

@@ -11,124 +11,24 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from entitymill.llm.common import map_texts, written
+from entitymill.llm.word_encoder import shared_encoder
 
 LENGTH = 4096
 END = 2
 VECTOR = 256
 DIMENSIONS = 4
 DEPTH = 8
-# ASCII punctuation that no contraction starts with.
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-# Byte-level models write a byte that is no printable character as one from U+0100 on.
-_UNPRINTABLE = [*range(0, 33), *range(127, 161), 173]
-BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(_UNPRINTABLE)}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Ids of a tokenizer that lower-cases and never joins text across white space, word by word.
-
-    The tokenizer parts letters from other characters, so a word of letters is one unit
-    to it, closed by an id that ends a word; many such words go into one call. A word
-    with punctuation behind it is put together from both. Ids of words seen are kept,
-    two generations of about ``most`` words each.
-    """
-
-    def __init__(self, path: str, most: int = 120_000):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        vocabulary = self.tokenizer.get_vocab()
-        if max(vocabulary.values()) >= 1 << 16:
-            raise ValueError("ids are kept in 16 bits")
-        self.ends = np.zeros(1 << 16, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.most, self.new, self.old = most, {}, {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Afterwards all ``words`` are in the new generation."""
-        new, old = self.new, self.old
-        letters, composed, others = {}, [], []
-        for word in words:
-            if word in old:
-                new[word] = old[word]
-                continue
-            text = word.decode("utf-8", "replace")
-            core = text.rstrip(PUNCTUATION)
-            plain = core if core.isascii() else normalize("NFC", core)
-            lower = plain.lower()
-            # What normalising turns into more than letters is left to the tokenizer as it stands.
-            if core.isalpha() and lower.isalpha():
-                stem = word
-                if len(core) < len(text):
-                    stem, tail = core.encode(), text[len(core) :].encode()
-                    composed.append((word, stem, tail))
-                    if tail not in new:
-                        others.append(tail)
-                    if stem in new:
-                        continue
-                if lower == core:
-                    # Neither normalising nor splitting changes such a word: only the model is
-                    # needed, which takes bytes as characters.
-                    if not core.isascii():
-                        core = core.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-                    new[stem] = np.array([t.id for t in self.model.tokenize(core)], "<u2").tobytes()
-                else:
-                    letters[stem] = core
-            else:
-                others.append(word)
-        if letters:
-            ids = self._ids(" ".join(letters.values()))
-            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(at) != len(letters):
-                raise ValueError("the tokenizer doesn't take letters as one unit")
-            raw, a = ids.tobytes(), 0
-            for word, b in zip(letters, at, strict=True):
-                new[word] = raw[2 * a : 2 * b]
-                a = b
-        for word in others:
-            new[word] = self._ids(word.decode("utf-8", "replace")).tobytes()
-        for word, stem, tail in composed:
-            new[word] = new[stem] + new[tail]
-
-    def encode(self, raw: bytes, block: int = 100_000) -> bytes:
-        """Ids of a text as little-endian unsigned 16-bit numbers."""
-        if not (b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw):
-            # Without special tokens, and without marks (U+0300 to U+037F) that would join a
-            # letter differently in either case, ASCII letters may be lower-cased first.
-            raw = raw.lower()
-        words, out = raw.split(), []
-        for a in range(0, len(words), block):
-            part = words[a : a + block]
-            if len(self.new) > self.most:
-                self.old, self.new = self.new, {}
-            ids = list(map(self.new.get, part))
-            if None in ids:
-                self._learn({w for w, i in zip(part, ids, strict=True) if i is None})
-                new = self.new
-                ids = [new[w] if i is None else i for w, i in zip(part, ids, strict=True)]
-            out.append(b"".join(ids))
-        return b"".join(out)
-
-
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker; its words serve all tasks that the worker runs."""
-    return WordEncoder(path)
-
-
 def project(ids: np.ndarray, seed: int = 11) -> np.ndarray:
     """A text's hashed, normalised count vector on ``DIMENSIONS`` random directions, each in [0, 1).
 
@@ -184,10 +84,10 @@ def tokenized(docs: DataFrame, keep=("doc_id",), text_col: str = "text", path: s
     little-endian, closed by ``END``) of every row; a null text has just ``END``."""
 
     def work():
-        encoder = _encoder(path)
+        encoder = shared_encoder(path)
 
         def run(texts: list) -> dict:
-            ids = [encoder.encode(t or b"") for t in texts]
+            ids = encoder.encode_all(texts)
             places = [project(np.frombuffer(i, "<u2")) for i in ids]
             end = END.to_bytes(2, "little")
             return {

@@ -15,6 +15,7 @@ from entitymill.llm import (
     secrets,
     sentencepiece_nbest,
     simhash,
+    token_files,
     warc,
 )
 from entitymill.llm.common import scratch
@@ -125,3 +126,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_checked")
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_files.write_ids(table(spark, sf_dir, "documents"), path, end=1)
+    return token_files.read_ids(spark, path)

@@ -8,6 +8,7 @@ from edge_cases import LONG_WORD, documents, empty
 from tokenizers import Tokenizer
 
 from entitymill.llm import packing
+from entitymill.llm.word_encoder import WordEncoder
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +19,8 @@ def tokenizer():
 def test_word_by_word_equals_whole_texts(tokenizer):
     rng = random.Random(4)
     parts = ["Hello", "it's", "WE'LL", "12", "a", "é", "é", "́", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "<|endoftext|>",
-             "<|startoftext|>", "<|", "|>", "漢", "İ", "ΑΣ", "\U0001f600", "!!", "...", "'s", "퟿", "%$#", "ﬁ"]
-    encoder = packing.WordEncoder(packing.TOKENIZER, most=50)
+             "<|startoftext|>", "<|", "|>", "漢", "İ", "ΑΣ", "\U0001f600", "!!", "...", ".", ",", ")", "ß", "÷", "ÿ.", "z;", "'s", "퟿", "%$#", "ﬁ"]
+    encoder = WordEncoder(packing.TOKENIZER, most=50)
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
         want = tokenizer.encode(text, add_special_tokens=False).ids

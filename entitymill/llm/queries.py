@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitymill.llm import (
+    conversation_repair,
     exact_dedup,
     language_mix,
     license_scan,
@@ -16,9 +17,10 @@ from entitymill.llm import (
     sentencepiece_nbest,
     simhash,
     token_files,
+    vector_codes,
     warc,
 )
-from entitymill.llm.common import scratch
+from entitymill.llm.common import scratch, written
 
 QUERIES = {}
 SQL = {}
@@ -128,6 +130,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_checked")
 
 
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.audit_conversations(conversations, conversation_repair.damage(conversations))
+
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """All rounds written out, over one row per component."""
+    def assigned(r: int) -> str:
+        return (
+            f"d{r} as materialized (select x.rid, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v)) as d from x"
+            f" join c{r} c on x.part = c.part and x.spot = c.spot group by all),"
+            f" a{r} as materialized (select rid, part, min(d) as d, arg_min(entry, d * {entries} + entry) as entry from d{r} group by all)"
+        )
+
+    steps = []
+    for r in range(rounds):
+        steps.append(assigned(r))
+        steps.append(
+            f"m{r} as (select x.part, a.entry, x.spot, sum(x.v)::bigint as s, count(*) as n from x"
+            f" join a{r} a on x.rid = a.rid and x.part = a.part group by all),"
+            f" c{r + 1} as materialized (select c.part, c.entry, c.spot, case when n is null then c.v"
+            f" else (s - ((s % n) + n) % n) // n end as v from c{r} c left join m{r} m"
+            " on c.part = m.part and c.entry = m.entry and c.spot = m.spot)"
+        )
+    steps.append(assigned(rounds))
+    return (
+        "with k as materialized (select row_number() over (order by vec_id) as rid, vec_id, label, embedding, len(embedding) as dim"
+        " from embeddings where embedding is not null"
+        " and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),"
+        " u as (select rid, dim, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as place from k),"
+        f" x as materialized (select rid, place // (dim // {parts}) as part, place % (dim // {parts}) as spot,"
+        " floor(4096 * e::double)::bigint as v from u),"
+        f" c0 as materialized (select part, rid - 1 as entry, spot, v from x where rid <= {entries}), " + ", ".join(steps) + ","
+        f" f as (select rid, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from a{rounds} group by rid),"
+        f" h as (select sha256(string_agg(v::varchar, ',' order by part, entry, spot)) as codebooks_sha256 from c{rounds})"
+        " select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256"
+        " from k join f on k.rid = f.rid, h"
+    )
+
+
+@query("op12_vector_codes", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, lloyd = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    codes = written(codes, "codes")
+    labels = codes.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    codes = codes.join(labels, codes["label"].eqNullSafe(labels["_label"]))
+    sha = F.lit(lloyd.codebooks_sha256())
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", sha.alias("codebooks_sha256"))
+
+
 @query("op13_token_files")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")

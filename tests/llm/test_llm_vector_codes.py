@@ -1,0 +1,125 @@
+import hashlib
+import sys
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from entitymill.llm import vector_codes as vc
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+SCHEMA = "vec_id long, embedding array<float>, label int, id string, row long, position int, part string, kind string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1, 2, "y", "z") for r in rows], SCHEMA)
+
+
+def plain(rows, parts, entries, rounds):
+    """(id, label, code, error) of every row and the codebooks, with Python's whole numbers."""
+    kept = [(i, np.array(v, np.float32), label) for i, v, label in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1].tolist()))
+    width = len(kept[0][1]) // parts
+    vectors = [[int(np.floor(np.float64(x) * 4096)) for x in v] for _, v, _ in kept]
+    first, seen = [], set()
+    for (i, _, _), v in zip(kept, vectors):
+        if i not in seen and len(first) < entries:
+            seen.add(i)
+            first.append(v)
+    books = [[v[p * width : (p + 1) * width] for v in first] for p in range(parts)]
+
+    def assign():
+        out = []
+        for v in vectors:
+            row = []
+            for p in range(parts):
+                part = v[p * width : (p + 1) * width]
+                row.append(min((sum((a - b) ** 2 for a, b in zip(part, e)), k) for k, e in enumerate(books[p])))
+            out.append(row)
+        return out
+
+    for _ in range(rounds):
+        found = assign()
+        for p in range(parts):
+            for k in range(len(books[p])):
+                members = [v[p * width : (p + 1) * width] for v, f in zip(vectors, found) if f[p][1] == k]
+                if members:
+                    books[p][k] = [sum(c) // len(members) for c in zip(*members)]
+    codes = [("".join(f"{k:02x}" for _, k in f), sum(d for d, _ in f)) for f in assign()]
+    return [(i, label, *c) for (i, _, label), c in zip(kept, codes)], books
+
+
+def key(r):
+    return tuple((x is not None, x if x is not None else 0) for x in r)
+
+
+def vectors(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(7, dim))
+    rows = [(int(i), [float(x) for x in (centres[i % 7] + 0.3 * rng.normal(size=dim)).astype(np.float32)], int(i % 5)) for i in range(n)]
+    rng.shuffle(rows)
+    return [(int(i), v, int(label)) for i, v, label in rows]
+
+
+@pytest.mark.parametrize(("parts", "entries", "rounds"), [(8, 16, 6), (2, 3, 1), (4, 40, 3)])
+def test_equals_brute_force(spark, parts, entries, rounds):
+    rows = vectors(300, 16, parts)
+    # A third of all rows are copies of one vector.
+    rows += [(1000 + i, rows[0][1], None) for i in range(150)]
+    codes, lloyd = vc.compress(frame(spark, rows).repartition(5), parts=parts, entries=entries, rounds=rounds)
+    want, books = plain(rows, parts, entries, rounds)
+    assert sorted(map(tuple, codes.collect()), key=key) == sorted(want, key=key)
+    assert lloyd.codebooks.tolist() == books
+    # Parts move less and less: what changes its entry is a part of all.
+    assert all(m < parts * len(rows) for m in lloyd.moved)
+
+
+def test_edge_rows(spark):
+    v = [0.5, -0.25, 3.0, 1e-9, 0.0, 1.0, 2.0, -7.5]
+    rows = [(3, v, 1), (3, v, 1), (None, [x + 1 for x in v], None), (1, [-x for x in v], 2), (2, None, 3), (4, [None, *v[1:]], 3),
+            (5, [float("nan"), *v[1:]], 3), (6, [float("inf"), *v[1:]], 3), (7, [1e9, *v[1:]], 4), (8, [-1e11, *v[1:]], 4)]
+    codes, lloyd = vc.compress(frame(spark, rows), parts=4, entries=3, rounds=2)
+    want, books = plain(rows, 4, 3, 2)
+    assert sorted(map(tuple, codes.collect()), key=key) == sorted(want, key=key)
+    assert lloyd.codebooks.tolist() == books
+
+
+def test_other_widths_have_no_code(spark):
+    rows = [(1, [1.0, 2.0], 0), (2, [], 0), (3, [1.0, 2.0, 3.0], 1), (4, [5.0, 5.0], 1)]
+    codes, _ = vc.compress(frame(spark, rows), parts=2, entries=2, rounds=1)
+    assert {r.id: r.code for r in codes.collect()} == {1: "0000", 2: None, 3: None, 4: "0101"}
+
+
+def test_empty_tables(spark):
+    for rows in ([], [(1, None, 0)]):
+        codes, lloyd = vc.compress(frame(spark, rows))
+        assert codes.count() == 0
+        assert lloyd.codebooks_sha256() == hashlib.sha256(b"").hexdigest()
+
+
+def test_too_large_components_are_refused(spark):
+    with pytest.raises(Exception, match="too large"):
+        vc.compress(frame(spark, [(1, [1e30] * 8, 0)]))
+
+
+def test_decoded_vectors_are_near(spark):
+    rows = vectors(200, 16, 3)
+    codes, lloyd = vc.compress(frame(spark, rows), parts=8, entries=16, rounds=6)
+    found = codes.collect()
+    by_id = dict((i, v) for i, v, _ in rows)
+    whole = np.array([vc.scaled(np.array(by_id[r.id], np.float32)) for r in found])
+    errors = ((whole - vc.decode([r.code for r in found], lloyd)) ** 2).sum(axis=1)
+    assert errors.tolist() == [r.error for r in found]
+
+
+def test_query(spark):
+    from compare import assert_same, connect
+
+    import __spark_entry__ as contract
+
+    folder = "/root/testdata/sf0.001"
+    got = contract.queries()["op12_vector_codes"](spark, folder)
+    assert got.select(F.countDistinct("codebooks_sha256")).first()[0] == 1
+    assert_same(got.toPandas(), connect(folder).execute(contract.oracle_sql()["op12_vector_codes"]).df())

@@ -47,17 +47,23 @@ def _serialised(encoder, texts: Sequence[bytes | None], end: int) -> list[bytes]
     return [ids + last for ids in encoder.encode_all(texts)]
 
 
-def train_dictionary(docs: DataFrame, text_col: str = "text", end: int = 1, path: str = TOKENIZER, rows: int = SAMPLE_ROWS) -> bytes:
+def train_dictionary(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end: int = 1, path: str = TOKENIZER, rows: int = SAMPLE_ROWS,
+) -> bytes:
     """A dictionary from the id arrays of up to ``rows`` texts of at most ``SAMPLE_BYTES``.
 
-    The texts are those with the least hashes; one task trains, the driver gets the
-    dictionary alone. With too few texts to train on it holds their arrays as they are,
-    and without any it is empty.
+    The texts are those of the rows with the least hashes, sought among a few times as many
+    rows whatever the table's size; one task trains, the driver gets the dictionary alone.
+    With too few texts to train on it holds their arrays as they are, and without any it is
+    empty.
     """
     share_code(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
-    sample = docs.select(text.cast("binary").alias("text")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    sample = sample.orderBy(F.xxhash64("text"), "text").limit(rows)
+    text = F.col(f"`{text_col}`").cast("binary")
+    sample = docs.select(text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("hash"))
+    share = 8 * rows / max(docs.count(), 1)
+    if share < 1:
+        sample = sample.where(F.pmod("hash", F.lit(1 << 32)) < int(share * (1 << 32)))
+    sample = sample.where(F.octet_length("text").between(1, SAMPLE_BYTES)).orderBy("hash", "text").limit(rows).select("text")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, arrays = shared_encoder(path), []
@@ -105,7 +111,7 @@ def write_ids(
     """
     spark = docs.sparkSession
     if dictionary is None:
-        dictionary = train_dictionary(docs, text_col, end, tokenizer)
+        dictionary = train_dictionary(docs, id_col, text_col, end, tokenizer)
     digest = hashlib.sha256(dictionary).digest()
     _raw_files(spark.createDataFrame([(bytearray(dictionary),)], "value binary"), f"{path}/dictionary", 1)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("binary").alias("text"))

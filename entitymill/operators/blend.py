@@ -6,14 +6,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitymill.functions.scalar import blend_of, named, num, to_binary_ends
+from entitymill.functions.scalar import blend_of, named, num, sql_value, to_binary_ends
 from entitymill.operators.attach import append_all, join_predictions
-from entitymill.operators.metrics import roc_auc, score_table
+from entitymill.operators.metrics import roc_auc, score_table, table_auc
 from entitymill.operators.ordered import pick_quantiles, prefix_sums
-from entitymill.sources.staging import cut_lineage
+from entitymill.sources.staging import cut_lineage, written
 
 # The quantile levels tried on either side.
 LOW_LEVELS = (0.0, 0.10001, 0.0001)
@@ -174,3 +174,131 @@ def weight_scan(
     rows = df.select(named(label), num(first).alias("_a"), num(second).alias("_b"), grid)
     mixed = F.col("weight") * F.col("_a") + (1 - F.col("weight")) * F.col("_b")
     return roc_auc(rows.withColumn("_score", mixed), label, "_score", ["weight"])
+
+
+# ---- weights and cuts of several models together ---------------------------
+
+# The published bounds of weights, low cuts and high cuts.
+WEIGHT_BOUNDS, LOW_BOUNDS, HIGH_BOUNDS = (0.0, 1.0), (0.0, 0.1), (0.9, 1.0)
+# Members of a population for each number sought, and how they are mixed.
+MEMBERS_A_NUMBER, MUTATION, CROSSING = 15, (0.5, 1.0), 0.7
+
+
+@dataclass(frozen=True)
+class Mix:
+    """Weights of models, and where scores of each and of their sum are cut to 0 and 1."""
+
+    weights: tuple[float, ...]
+    lows: tuple[float, ...]
+    highs: tuple[float, ...]
+    low: float = 0.0
+    high: float = 1.0
+
+
+def mix_bounds(models: int) -> np.ndarray:
+    """Bounds of the numbers of a mix: weights (two models: that of the first), cuts by model, final cuts."""
+    weights = [WEIGHT_BOUNDS] * (1 if models == 2 else models)
+    return np.array([*weights, *([HIGH_BOUNDS, LOW_BOUNDS] * (models + 1))])
+
+
+def mix_of(numbers: Sequence[float], models: int) -> Mix:
+    n = 1 if models == 2 else models
+    weights = [float(w) for w in numbers[:n]]
+    weights = [weights[0], 1 - weights[0]] if models == 2 else [w / (sum(weights) or 1.0) for w in weights]
+    cuts = [float(c) for c in numbers[n:]]
+    return Mix(tuple(weights), tuple(cuts[1 : 2 * models : 2]), tuple(cuts[0 : 2 * models : 2]), cuts[-1], cuts[-2])
+
+
+def _cut(score: str, low: str, high: str) -> str:
+    return f"case when {score} < {low} then 0D when {score} > {high} then 1D else {score} end"
+
+
+def rank_table(df: DataFrame, label: str, models: Sequence[str]) -> DataFrame:
+    """``pos`` and ``neg`` for every different tuple of scores (``m0``, ``m1``, ...), written; rows
+    without a label or with a missing score are left out."""
+    scores = [num(m).alias(f"m{i}") for i, m in enumerate(models)]
+    rows = df.filter(named(label).isNotNull()).select((named(label) == 1).alias("_y"), *scores).dropna()
+    counts = [F.count(F.when(F.col("_y"), 1)).alias("pos"), F.count(F.when(~F.col("_y"), 1)).alias("neg")]
+    return written(rows.groupBy(*[f"m{i}" for i in range(len(models))]).agg(*counts))
+
+
+def rate_mixes(ranks: DataFrame, mixes: Sequence[Mix]) -> DataFrame:
+    """AUC of every mix on a ``rank_table``, in one job: (mix, auc), by its place in ``mixes``.
+
+    Scores of a mix are added up by value in each task before they are sorted.
+    """
+    def numbers(m: Mix) -> str:
+        flat = [*m.weights, *m.lows, *m.highs, m.low, m.high]
+        return f"array({', '.join(sql_value(float(x)) for x in flat)})"
+
+    n = len(mixes[0].weights)
+    parts = [f"p[{i}] * ({_cut(f'm{i}', f'p[{n + i}]', f'p[{2 * n + i}]')})" for i in range(n)]
+    rows = ranks.select("*", F.posexplode(F.expr(f"array({', '.join(map(numbers, mixes))})")).alias("mix", "p"))
+    rows = rows.select("mix", "p", "pos", "neg", F.expr(" + ".join(parts)).alias("sum"))
+    rows = rows.select("mix", F.expr(_cut("sum", f"p[{3 * n}]", f"p[{3 * n + 1}]")).alias("score"), "pos", "neg")
+    table = rows.groupBy("mix", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return table_auc(table, ["mix"])
+
+
+@dataclass
+class MixSearch:
+    best: Mix
+    auc: float | None
+    history: DataFrame  # generation, best, mean, spread of the population's AUC
+
+
+def search_mix(
+    df: DataFrame, label: str, models: Sequence[str], generations: int = 1000, members: int | None = None, tolerance: float = 0.01, seed: int = 47,
+) -> MixSearch:
+    """The mix with the best AUC by differential evolution.
+
+    Every generation draws a rival for each member of the population: the best member, moved
+    by the difference of two others, crossed with the member. All rivals are rated in one job
+    over the rank table, and the better of each two stays. Ends when the population's AUC
+    spread no further than ``tolerance`` times their mean, or after ``generations``.
+    """
+    ranks, bounds = rank_table(df, label, models), mix_bounds(len(models))
+    rng, size, many = np.random.default_rng(seed), len(bounds), members or MEMBERS_A_NUMBER * len(bounds)
+    low, reach = bounds[:, 0], bounds[:, 1] - bounds[:, 0]
+
+    def rated(points: np.ndarray) -> np.ndarray:
+        found = rate_mixes(ranks, [mix_of(low + p * reach, len(models)) for p in points]).collect()
+        out = np.full(len(points), -np.inf)
+        for r in found:
+            out[r["mix"]] = -np.inf if r["auc"] is None else r["auc"]
+        return out
+
+    # In every number, one member in each of as many equal parts of its bounds.
+    points = (np.array([rng.permutation(many) for _ in range(size)]).T + rng.random((many, size))) / many
+    aucs, history = rated(points), []
+    for generation in range(generations + 1):
+        spread = float(np.std(aucs)) if np.isfinite(aucs).all() else 0.0
+        history.append((generation, float(aucs.max()), float(aucs.mean()), spread))
+        if generation == generations or spread <= tolerance * abs(aucs.mean()) or not np.isfinite(aucs).all():
+            break
+        scale = rng.uniform(*MUTATION)
+        rivals = points.copy()
+        for i in range(many):
+            a, b = rng.choice(np.delete(np.arange(many), i), 2, replace=False)
+            moved = points[aucs.argmax()] + scale * (points[a] - points[b])
+            moved = np.where((moved < 0) | (moved > 1), rng.random(size), moved)
+            crossed = rng.random(size) < CROSSING
+            crossed[rng.integers(size)] = True
+            rivals[i] = np.where(crossed, moved, points[i])
+        new = rated(rivals)
+        better = new >= aucs
+        points[better], aucs[better] = rivals[better], new[better]
+    best = int(aucs.argmax())
+    frame = df.sparkSession.createDataFrame(history, "generation int, best double, mean double, spread double")
+    return MixSearch(mix_of(low + points[best] * reach, len(models)), float(aucs[best]) if np.isfinite(aucs[best]) else None, frame)
+
+
+def apply_mix(df: DataFrame, models: Sequence[str], mix: Mix, out: str) -> DataFrame:
+    """``df`` with the mixed score as ``out``; missing where a model's score is."""
+    scores = [to_binary_ends_of(num(m), lo, hi) for m, lo, hi in zip(models, mix.lows, mix.highs, strict=True)]
+    total = sum((F.lit(w) * s for w, s in zip(mix.weights[1:], scores[1:], strict=True)), F.lit(mix.weights[0]) * scores[0])
+    return df.withColumn(out, to_binary_ends_of(total, mix.low, mix.high))
+
+
+def to_binary_ends_of(score: Column, low: float, high: float) -> Column:
+    return F.when(score < low, 0.0).when(score > high, 1.0).otherwise(score)

@@ -26,8 +26,12 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Da
     a chunk's positives also beat all negatives of the chunks below it. Only
     one row per chunk takes part in the second step.
     """
+    return table_auc(score_table(df, label, score, by), by)
+
+
+def table_auc(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``roc_auc`` of a table with ``pos`` and ``neg`` for every ``score``, one row each."""
     groups = [named(b) for b in by]
-    table = score_table(df, label, score, by)
     ranged = table.repartitionByRange(*groups, F.col("score")).withColumn(
         "_chunk", F.spark_partition_id()
     )

@@ -1,10 +1,10 @@
-"""K-fold training on MLlib with out-of-fold and averaged test predictions."""
+"""K-fold training with out-of-fold and averaged test predictions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import SparkContext
 from pyspark.ml import Estimator
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitymill.functions.scalar import named
+from entitymill.operators import boosting, net
 from entitymill.operators.attach import append_all
 from entitymill.operators.clean import (
     feature_columns,
@@ -92,6 +93,35 @@ def depth_wise_gbt(patience: int | None = DEPTH_WISE_PATIENCE, **params) -> Lear
     return gbt("depth_wise_gbt", patience, **{**DEPTH_WISE, **params})
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """The library's own boosting, which takes missing values and all published settings as they are."""
+
+    name: str
+    settings: boosting.Settings
+
+
+def boosted_leaf_wise(**settings) -> Boosted:
+    return Boosted("leaf_wise", replace(boosting.LEAF_WISE, **settings))
+
+
+def boosted_depth_wise(**settings) -> Boosted:
+    return Boosted("depth_wise", replace(boosting.DEPTH_WISE, **settings))
+
+
+@dataclass(frozen=True)
+class DenseNet:
+    """The library's own nets: rectified layers with dropout and early stop."""
+
+    name: str
+    settings: net.NetSettings
+
+
+def relu_net(**settings) -> DenseNet:
+    """The published net, unless ``settings`` say otherwise."""
+    return DenseNet("relu_net", net.NetSettings(**settings))
+
+
 def some_trees(model: GBTClassificationModel, start: int, stop: int) -> GBTClassificationModel:
     """The boosting model made of the trees [start, stop) of ``model``."""
     context = SparkContext._active_spark_context
@@ -251,7 +281,7 @@ def _probability(model, rows: DataFrame, name: str = "prediction") -> DataFrame:
 
 def kfold(
     df: DataFrame,
-    learner: Learner,
+    learner: Learner | Boosted | DenseNet,
     id_col: str,
     label: str,
     k: int = 5,
@@ -269,8 +299,13 @@ def kfold(
     shared_dir(df.sparkSession)
     ids = df.filter(named(label).isNotNull()).select(named(id_col), named(label))
     folds = assign_folds(ids, k, id_col, label if stratified else None, seed)
-    matrix, names = model_matrix(df, id_col, label, features, learner.policy)
+    if isinstance(learner, Boosted):
+        return _boosted_kfold(df, learner.settings, id_col, label, k, folds, features)
+    policy = MEAN_SCALED if isinstance(learner, DenseNet) else learner.policy
+    matrix, names = model_matrix(df, id_col, label, features, policy)
     matrix = cut_lineage(matrix.join(folds.select(named(id_col), "fold"), id_col, "left"))
+    if isinstance(learner, DenseNet):
+        return _net_kfold(matrix, learner.settings, id_col, len(names), k)
     train = matrix.filter("label IS NOT NULL")
     test = matrix.filter("label IS NULL").drop("label", "fold")
 
@@ -302,6 +337,40 @@ def kfold(
     )
 
 
+def _boosted_kfold(df, settings, id_col, label, k, folds, features) -> KFoldResult:
+    """All folds grow in the same passes over one table of bins; AUC and loss of both parts are traced."""
+    if features is None:
+        features = [c for c in feature_columns(df) if c not in (id_col, label)]
+    table = boosting.bin_table(df, id_col, label, features, settings.bins, folds)
+    models = boosting.fit(table, [replace(settings, seed=2**i) for i in range(k)], range(k), both_parts=True)
+    boosting.keep_best(models)
+    train, test = table.rows.where("label IS NOT NULL"), table.rows.where("label IS NULL")
+    oof = boosting.predict(table, models, train, own_fold=True)
+    mean = boosting.predict(table, models, test)
+    rows = [(n, float(g), m.fold + 1) for m in models for n, g in zip(table.names, m.gains(len(table.names)), strict=True)]
+    return KFoldResult(
+        oof=oof.withColumnRenamed("id", id_col),
+        test=mean.select(F.col("id").alias(id_col), "prediction"),
+        importances=df.sparkSession.createDataFrame(rows, "feature string, importance double, fold int"),
+        models=models,
+        matrix=train,
+    )
+
+
+def _net_kfold(matrix, settings, id_col, width, k) -> KFoldResult:
+    models = net.fit_nets(matrix, width, [replace(settings, seed=2**i) for i in range(k)], range(k))
+    train, test = matrix.filter("label IS NOT NULL"), matrix.filter("label IS NULL")
+    oof = net.predict_nets(train, width, models, id_col, own_fold=True)
+    mean = net.predict_nets(test, width, models, id_col)
+    return KFoldResult(
+        oof=oof.withColumnRenamed("id", id_col),
+        test=mean.select(F.col("id").alias(id_col), "prediction"),
+        importances=None,
+        models=models,
+        matrix=train,
+    )
+
+
 def _importances(spark, models, names: Sequence[str]) -> DataFrame | None:
     if not hasattr(models[0], "featureImportances"):
         return None
@@ -314,8 +383,17 @@ def _importances(spark, models, names: Sequence[str]) -> DataFrame | None:
 
 
 def score_trace(result: KFoldResult) -> DataFrame:
-    """Loss after every boosting round: (fold, part, iteration, loss)."""
+    """Loss after every boosting round: (fold, part, iteration, loss). The library's own learners
+    add ``auc`` and trace rounds past the best as well; nets trace the rows held out, by epoch."""
     rows = []
+    if all(isinstance(m, boosting.Model) for m in result.models):
+        rows = [(m.fold, part, r, loss, auc) for m in result.models for r, part, auc, loss in m.trace]
+        schema = "fold int, part string, iteration int, loss double, auc double"
+        return result.matrix.sparkSession.createDataFrame(rows, schema)
+    if all(isinstance(m, net.NetModel) for m in result.models):
+        rows = [(m.fold, "valid", r, loss, auc) for m in result.models for r, auc, loss in m.trace]
+        schema = "fold int, part string, iteration int, loss double, auc double"
+        return result.matrix.sparkSession.createDataFrame(rows, schema)
     for fold, model in enumerate(result.models):
         held_out = F.col("fold") == fold
         for part, where in (("train", ~held_out), ("valid", held_out)):
@@ -325,16 +403,27 @@ def score_trace(result: KFoldResult) -> DataFrame:
     return result.matrix.sparkSession.createDataFrame(rows, schema)
 
 
+# Parameters that are shares, that can't be negative, and that are whole.
+SHARES = ("subsample", "colsample_bytree", "colsample_bylevel")
+NOT_NEGATIVE = ("reg_alpha", "reg_lambda", "alpha", "_lambda")
+WHOLE = ("num_leaves", "max_depth", "min_data_in_leaf")
+
+
 def clip_params(params: Mapping[str, float]) -> dict[str, float]:
     """Bring proposed hyper-parameters into the range their learner accepts."""
     out = dict(params)
-    for name in ("subsample", "colsample_bytree", "colsample_bylevel"):
-        if name in out:
-            out[name] = max(min(out[name], 1.0), 0.0)
-    for name in ("reg_alpha", "reg_lambda", "alpha", "_lambda"):
-        if name in out:
-            out[name] = max(out[name], 0.0)
-    for name in ("num_leaves", "max_depth", "min_data_in_leaf"):
-        if name in out:
-            out[name] = int(out[name])
+    for name in set(out).intersection(SHARES):
+        out[name] = max(min(out[name], 1.0), 0.0)
+    for name in set(out).intersection(NOT_NEGATIVE):
+        out[name] = max(out[name], 0.0)
+    for name in set(out).intersection(WHOLE):
+        out[name] = int(out[name])
     return out
+
+
+def clip_columns(proposals: DataFrame) -> DataFrame:
+    """``clip_params`` for a table of proposals with a column per parameter; missing values stay so."""
+    clipped = {n: F.when(F.col(n).isNotNull(), F.least(F.greatest(n, F.lit(0.0)), F.lit(1.0))) for n in SHARES}
+    clipped |= {n: F.when(F.col(n).isNotNull(), F.greatest(n, F.lit(0.0))) for n in NOT_NEGATIVE}
+    clipped |= {n: F.col(n).cast("int") for n in WHOLE}
+    return proposals.withColumns({n: e for n, e in clipped.items() if n in proposals.columns})

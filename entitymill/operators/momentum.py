@@ -226,7 +226,7 @@ def _stitch(per_chunk: DataFrame, key: str, m: Momentum) -> DataFrame:
         return F.when(repeats, F.raise_error(message)).otherwise(no_nan(F.try_divide(value, n)))
 
     repeats = F.sum("_repeats") > 0
-    message = F.lit(f"records of one {key} are equal in {', '.join(m.order_by)}: their order is open")
+    message = _open_order(key, m)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     has = lambda c: c.isNotNull().cast("long")
     out = []
@@ -262,15 +262,23 @@ def _stitch(per_chunk: DataFrame, key: str, m: Momentum) -> DataFrame:
     return chunks.groupBy(named(key)).agg(*out)
 
 
+def _open_order(key: str, m: Momentum) -> Column:
+    return F.lit(f"records of one {key} are equal in {', '.join(m.order_by)}: their order is open")
+
+
 def row_changes(
     df: DataFrame, key: str, m: Momentum, chunks: int | None = None
 ) -> DataFrame:
-    """Per record: difference and percent change of every followed column."""
+    """Per record: difference and percent change of every followed column.
+
+    Fails where two records of an entity are equal in the declared order.
+    """
     rows = _lagged_in_chunks(df.filter(named(key).isNotNull()), key, m, chunks)
+    tied = F.raise_error(_open_order(key, m))
     return rows.select("*", *_changes(m)).select(
         *[named(c) for c in df.columns],
         *[
-            F.col(f"_{change}{i}").alias(f"{m.prefix}{f}_{change}")
+            F.when(F.col("_tied"), tied).otherwise(F.col(f"_{change}{i}")).alias(f"{m.prefix}{f}_{change}")
             for i, f in enumerate(m.features)
             for change in CHANGES
         ],
@@ -298,6 +306,8 @@ def _lagged_in_chunks(df: DataFrame, key: str, m: Momentum, chunks: int | None)
     starts = ends.select("_k", "_c", *starts)
     inside = Window.partitionBy(named(key), "_chunk").orderBy(*[named(c) for c in m.order_by])
     rows = _lagged(chunks, [key, "_chunk"], m).withColumn("_row", F.row_number().over(inside))
+    # Equal places share a chunk, as chunks are cut by them.
+    rows = rows.withColumn("_tied", order.eqNullSafe(F.lag(order).over(inside)))
     rows = rows.join(starts, (named(key) == F.col("_k")) & (F.col("_chunk") == F.col("_c")))
     filled = []
     for i in range(len(m.features)):
@@ -306,4 +316,4 @@ def _lagged_in_chunks(df: DataFrame, key: str, m: Momentum, chunks: int | None)
             previous.alias(f"_prev{i}"),
             F.coalesce(F.col(f"_before{i}"), F.col(f"_carry{i}")).alias(f"_before{i}"),
         ]
-    return rows.select(*[named(c) for c in df.columns], *filled)
+    return rows.select(*[named(c) for c in df.columns], "_tied", *filled)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from entitymill.operators import blend as bl
+from entitymill.operators import boosting
 from entitymill.operators import models as md
 from entitymill.operators.aggregate import entity_agg
 from entitymill.operators.attach import attach, join_predictions
 from entitymill.operators.folds import assign_folds
 from entitymill.operators.metrics import roc_auc
-from entitymill.operators.search import search
+from entitymill.operators.search import LEAF_WISE_BASE, LEAF_WISE_BOUNDS, boosted_search, search
 from entitymill.queries import derived
 from entitymill.queries import sqltext as sql
 from entitymill.queries.base import cte, frame, query, stable, stable_sql
@@ -214,6 +217,44 @@ def _(t):
     return stable(bl.weight_scan(scores(t), "target", "first", "second", WEIGHTS))
 
 
+# A population by rule: weights in fifths, cuts at the ends and inside the published bounds.
+MIXED = [
+    bl.Mix((i % 6 / 5, 1 - i % 6 / 5), (0.02 * (i % 5), 0.1 - 0.02 * (i % 4)), (1 - 0.03 * (i % 4), 0.9 + 0.02 * (i % 6)), 0.01 * (i % 11), 1 - 0.01 * (i % 9))
+    for i in range(60)
+]
+
+
+def _mixes_sql() -> str:
+    rows = ", ".join(f"({i}, {', '.join(f'{x!r}::double' for x in (*m.weights, *m.lows, *m.highs, m.low, m.high))})" for i, m in enumerate(MIXED))
+    cut = "case when {x} < {lo} then 0 when {x} > {hi} then 1 else {x} end"
+    total = f"w1 * ({cut.format(x='first', lo='l1', hi='h1')}) + w2 * ({cut.format(x='second', lo='l2', hi='h2')})"
+    mixed = (
+        f"select mix, target, {cut.format(x='total', lo='l', hi='h')} as score from (select mix, target, l, h, {total} as total"
+        f" from ({SCORES_SQL}) s, (values {rows}) v(mix, w1, w2, l1, l2, h1, h2, l, h)) z"
+    )
+    auc = f"select mix, auc, auc = max(auc) over () as best from ({sql.auc(mixed, 'target', 'score', ['mix'])}) a"
+    return f"select mix, {stable_sql('auc')} as auc, best from ({auc}) b"
+
+
+@query("b4_rated_mixes", _mixes_sql())
+def _(t):
+    """Weights and all cuts of two models, rated together; the best is marked."""
+    ranks = bl.rank_table(scores(t), "target", ["first", "second"])
+    rated = {r["mix"]: r["auc"] for r in bl.rate_mixes(ranks, MIXED).collect()}
+    rows = [(mix, auc, auc == max(rated.values())) for mix, auc in rated.items()]
+    return stable(t.spark.createDataFrame(rows, "mix int, auc double, best boolean"))
+
+
+@query("b4_joint_optimum", f"select id, true as in_range from ({SCORES_SQL}) s")
+def _(t):
+    """The best mix by differential evolution, applied; it is rated no lower than any of a fixed population's first."""
+    found = bl.search_mix(scores(t), "target", ["first", "second"], generations=4, members=20)
+    alone = bl.rate_mixes(bl.rank_table(scores(t), "target", ["first", "second"]), [bl.Mix((1.0, 0.0), (0.0, 0.0), (1.0, 1.0))]).first()["auc"]
+    mixed = bl.apply_mix(scores(t), ["first", "second"], found.best, "mixed")
+    good = found.auc >= alone - 0.01
+    return mixed.select("id", (F.col("mixed").between(0, 1) & F.lit(good)).alias("in_range"))
+
+
 # ---- models: customers, with statistics of their orders ---------------------
 
 SIGNALS = [
@@ -304,15 +345,103 @@ def _oof(result: md.KFoldResult):
 
 @query("ml2_leaf_wise_gbt", _facts(3))
 def _(t):
-    return _oof(md.kfold(deals(t), md.leaf_wise_gbt(maxIter=12), "id", "target", k=3))
+    return _oof(md.kfold(deals(t), md.boosted_leaf_wise(rounds=12), "id", "target", k=3))
 
 
 @query("ml3_depth_wise_gbt", f"select id, true as in_range from ({DEAL_SQL}) s where target is null")
 def _(t):
-    result = md.kfold(deals(t), md.depth_wise_gbt(maxIter=4), "id", "target", k=2)
+    result = md.kfold(deals(t), md.boosted_depth_wise(rounds=4), "id", "target", k=2)
     return result.test.select("id", F.col("prediction").between(0, 1).alias("in_range"))
 
 
+# ---- first trees, number by number: every value of a feature has a bin of its own ------
+
+GROWN = {
+    "id": "o_orderkey",
+    "target": "cast(case when o_orderstatus = 'P' then null when o_totalprice + (o_custkey % 50) * 2000 > 220000 then 1 else 0 end as double)",
+    "price": "case when o_orderkey % 11 = 0 then null else floor(o_totalprice / 5000) end",
+    "customer": "case when o_custkey % 5 = 0 then null else o_custkey % 50 end",
+    "month": "cast(extract(month from o_orderdate) as double)",
+    "missing_if_high": "case when o_totalprice > 180000 then null else cast(o_orderkey % 3 as double) end",
+}
+GROWN_FEATURES = list(GROWN)[2:]
+TREE = {"rounds": 1, "max_depth": 2, "max_leaves": 4, "by_tree": 1.0, "subsample": 1.0, "rate": 0.1}
+LEAF_WISE_TREE = replace(boosting.LEAF_WISE, min_rows=60, **TREE)
+DEPTH_WISE_TREE = replace(boosting.DEPTH_WISE, min_weight=35.563, alpha=9.848, lam=3.286, min_gain=0.666, **TREE)
+
+
+def _node_sql(s: boosting.Settings, source: str, name: str) -> str:
+    """CTEs with the sums, the best split and the two halves of a node's rows."""
+
+    def score(g: str, h: str) -> str:
+        pulled = f"greatest(abs({g} / {boosting.UNIT}) - {s.alpha}::double, 0)"
+        return f"({pulled} * {pulled} / ({h} / {boosting.UNIT} + {s.lam}::double))"
+
+    long = " union all ".join(f"select {i} as f, {c} as v, g, h from {source}" for i, c in enumerate(GROWN_FEATURES))
+    least = f"{s.min_weight * boosting.UNIT}::double"
+    side = " or ".join(f"(f = {i} and (({c} is null and missing_left) or {c} <= cut))" for i, c in enumerate(GROWN_FEATURES))
+    return (
+        f"{name}_t as materialized (select sum(g)::double as g, sum(h)::double as h, count(*) as n from {source}),"
+        f" {name}_v as (select f, v, sum(g) as g, sum(h) as h, count(*) as n from ({long}) x group by f, v),"
+        f" {name}_c as (select c.f, c.i, c.cut, sum(coalesce(x.g, 0)) over w as g, sum(coalesce(x.h, 0)) over w as h,"
+        f" sum(coalesce(x.n, 0)) over w as n from cuts c left join {name}_v x on c.f = x.f and c.v = x.v"
+        " window w as (partition by c.f order by c.i)),"
+        f" {name}_b as (select c.f, c.i, c.cut, m.missing_left, (c.g + case when m.missing_left then coalesce(x.g, 0) else 0 end)::double as g,"
+        " (c.h + case when m.missing_left then coalesce(x.h, 0) else 0 end)::double as h,"
+        " c.n + case when m.missing_left then coalesce(x.n, 0) else 0 end as n"
+        f" from {name}_c c left join {name}_v x on c.f = x.f and x.v is null, (select unnest([true, false]) as missing_left) m),"
+        f" {name}_s as materialized (select b.f, b.cut, b.missing_left, {score('b.g', 'b.h')} + {score('(t.g - b.g)', '(t.h - b.h)')} - {score('t.g', 't.h')} as gain"
+        f" from {name}_b b, {name}_t t where b.n >= {max(s.min_rows, 1)} and t.n - b.n >= {max(s.min_rows, 1)}"
+        f" and b.h >= {least} and t.h - b.h >= {least}"
+        f" qualify gain > {max(s.min_gain, 1e-9)} and row_number() over (order by gain desc, f, b.i, missing_left desc) = 1),"
+        f" {name}l as materialized (select r.* from {source} r, {name}_s where {side}),"
+        f" {name}r as materialized (select r.* from {source} r, {name}_s where not coalesce({side}, false))"
+    )
+
+
+def _tree_sql(s: boosting.Settings) -> str:
+    start = "(1 / (1 + exp(-ln(q / (1 - q)))))" if s.from_average else "0.5::double"
+    values = " union ".join(f"select {i} as f, {c} as v from d where {c} is not null" for i, c in enumerate(GROWN_FEATURES))
+    names = "case f " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(GROWN_FEATURES)) + " end"
+
+    def inner(name: str, path: str) -> str:
+        return f"select '{path}' as path, {names} as feature, cut, missing_left, gain, null::double as value from {name}_s"
+
+    def leaf(rows: str, path: str, split: str | None) -> str:
+        g, h = f"sum(g) / {boosting.UNIT}::double", f"sum(h) / {boosting.UNIT}::double"
+        value = f"-{s.rate}::double * sign({g}) * greatest(abs({g}) - {s.alpha}::double, 0) / ({h} + {s.lam}::double)"
+        none = f" having count(*) > 0 and not exists (select 1 from {split}_s)" if split else " having count(*) > 0"
+        return f"select '{path}', null, null, null, null, {value} from {rows}{none}"
+
+    rows = [inner("n", ""), inner("nl", "L"), inner("nr", "R"), leaf("nl", "L", "nl"), leaf("nr", "R", "nr")]
+    rows += [leaf(f"n{path.lower()}", path, None) for path in ("LL", "LR", "RL", "RR")]
+    columns = ", ".join(["path", "feature", f"{stable_sql('cut')} as cut", "missing_left", f"{stable_sql('gain')} as gain", f"{stable_sql('value')} as value"])
+    text = (
+        f"with d as materialized (select * from ({cte('orders', GROWN)}) x where target is not null),"
+        f" p as (select {start} as p from (select avg(target) as q from d) z),"
+        f" root as materialized (select d.*, round((p - target) * {boosting.UNIT})::bigint as g, round(p * (1 - p) * {boosting.UNIT})::bigint as h from d, p),"
+        f" cuts as materialized (select f, v, row_number() over (partition by f order by v) as i,"
+        f" coalesce(v / 2 + lead(v) over (partition by f order by v) / 2, 'inf'::double) as cut from ({values}) x), "
+    )
+    text += ", ".join([_node_sql(s, "root", "n"), _node_sql(s, "nl", "nl"), _node_sql(s, "nr", "nr")])
+    return f"{text} select {columns} from ({' union all '.join(rows)}) o"
+
+
+def _first_tree(name: str, settings: boosting.Settings):
+    @query(name, _tree_sql(settings))
+    def _(t):
+        table = boosting.bin_table(frame(t.orders, GROWN), "id", "target", GROWN_FEATURES)
+        model = boosting.fit(table, [settings], [None])[0]
+        rows = boosting.tree_table(table, model, 0)
+        rows = [(r["path"], r["feature"], r["cut"], r["missing_left"], r["gain"], None if r["feature"] else r["value"]) for r in rows]
+        schema = "path string, feature string, cut double, missing_left boolean, gain double, value double"
+        return stable(t.spark.createDataFrame(rows, schema))
+
+
+_first_tree("ml2_first_tree", LEAF_WISE_TREE)
+_first_tree("ml3_first_tree", DEPTH_WISE_TREE)
+
+
 @query("ml4_random_forest", _facts(3))
 def _(t):
     return _oof(md.kfold(deals(t), md.random_forest(numTrees=20), "id", "target", k=3))
@@ -324,6 +453,30 @@ def _(t):
     return _oof(md.kfold(deals(t), learner, "id", "target", k=2))
 
 
+@query("ml5_published_net", _facts(2))
+def _(t):
+    """The published layers, dropout, penalty and rate, for a few epochs."""
+    return _oof(md.kfold(deals(t), md.relu_net(epochs=3), "id", "target", k=2))
+
+
+@query(
+    "ml7_published_search",
+    "select trial, true as in_bounds, trial < 15 as random, true as at_most_best from (select unnest(range(40))::int as trial) s",
+)
+def _(t):
+    """15 random and 25 guided trials over the published bounds, of few rounds; losing trials end after the first."""
+    base = replace(LEAF_WISE_BASE, rounds=3)
+    found = boosted_search(deals(t), "id", "target", base=base, k=3, guided_at_once=25, stages=(1,))
+    inside = F.lit(True)
+    for c, (lo, hi) in LEAF_WISE_BOUNDS.items():
+        inside = inside & F.col(c).between(lo, hi)
+    is_best = F.lit(True)
+    for c, v in found.best.items():
+        is_best = is_best & (F.col(c) == v)
+    top = found.trials.agg(F.max(F.when(is_best, F.col("auc"))).alias("best")).first()["best"]
+    return found.trials.select("trial", inside.alias("in_bounds"), (F.col("trial") < 15).alias("random"), (F.col("auc") <= top).alias("at_most_best"))
+
+
 @query(
     "ml7_search",
     "select trial, true as in_bounds, true as best_is_highest, true as good_auc from"
@@ -362,6 +515,44 @@ def _(t):
     return found.select("fold", "part", all_rounds.alias("all_rounds"), (F.col("last") <= F.col("first")).alias("falls"))
 
 
+STUMP = replace(LEAF_WISE_TREE, max_depth=1, max_leaves=2)
+HALF = "cast(id % 2 as int)"
+
+
+def _stump_trace_sql(fold: int) -> str:
+    """AUC and loss of both parts after one split, which one half of the rows decides."""
+    s = STUMP
+    values = " union ".join(f"select {i} as f, {c} as v from d where {c} is not null" for i, c in enumerate(GROWN_FEATURES))
+    side = " or ".join(f"(f = {i} and (({c} is null and missing_left) or {c} <= cut))" for i, c in enumerate(GROWN_FEATURES))
+
+    def value(rows: str) -> str:
+        g, h = f"sum(g) / {boosting.UNIT}::double", f"sum(h) / {boosting.UNIT}::double"
+        return f"(select -{s.rate}::double * sign({g}) * greatest(abs({g}) - {s.alpha}::double, 0) / ({h} + {s.lam}::double) from {rows})"
+
+    auc = sql.auc("select part, target, margin from scored", "target", "margin", ["part"])
+    return (
+        f"select {fold} as fold, * from (with d as materialized (select *, {HALF} as fold from ({cte('orders', GROWN)}) x where target is not null),"
+        f" b as (select ln(q / (1 - q)) as base, 1 / (1 + exp(-ln(q / (1 - q)))) as p from (select avg(target) as q from d where fold <> {fold}) z),"
+        f" root as materialized (select d.*, round((p - target) * {boosting.UNIT})::bigint as g, round(p * (1 - p) * {boosting.UNIT})::bigint as h from d, b where fold <> {fold}),"
+        " cuts as materialized (select f, v, row_number() over (partition by f order by v) as i,"
+        f" coalesce(v / 2 + lead(v) over (partition by f order by v) / 2, 'inf'::double) as cut from ({values}) x), "
+        + _node_sql(s, "root", "n")
+        + f", scored as materialized (select d.target, case when d.fold = {fold} then 'valid' else 'train' end as part,"
+        f" base + case when {side} then {value('nl')} else {value('nr')} end as margin from d, b, n_s),"
+        " losses as (select part, avg(ln(1 + exp(case when target = 1 then -margin else margin end))) as loss from scored group by part)"
+        f" select part, 1 as iteration, {stable_sql('loss')} as loss, {stable_sql('auc')} as auc from losses join ({auc}) a using (part)) t"
+    )
+
+
+@query("ml8_auc_trace", " union all ".join(_stump_trace_sql(fold) for fold in (0, 1)))
+def _(t):
+    rows = frame(t.orders, GROWN)
+    table = boosting.bin_table(rows, "id", "target", GROWN_FEATURES, folds=rows.selectExpr("id", f"{HALF} as fold"))
+    models = boosting.fit(table, [STUMP, STUMP], [0, 1], both_parts=True)
+    found = [(m.fold, part, r, loss, auc) for m in models for r, part, auc, loss in m.trace]
+    return stable(t.spark.createDataFrame(found, "fold int, part string, iteration int, loss double, auc double"))
+
+
 @query(
     "ml9_importances",
     f"select fold, true as adds_up, '{DECIDES}' as first, 4::bigint as features from"
@@ -384,3 +575,19 @@ def _(t):
     return t.spark.createDataFrame(
         [(clipped["reg_alpha"], clipped["max_depth"], clipped["subsample"])], "reg_alpha double, max_depth int, subsample double"
     )
+
+
+CLIPPED = {
+    "subsample": "least(greatest(c_acctbal / 5000, 0), 1)", "reg_alpha": "greatest(c_acctbal / 5000, 0)",
+    "num_leaves": "cast(trunc(c_acctbal / 5000) as int)", "learning_rate": "c_acctbal / 5000",
+}
+
+
+@query(
+    "x18_clip_columns",
+    "select c_custkey as id, " + ", ".join(f"{stable_sql(e)} as {n}" if "trunc" not in e else f"{e} as {n}" for n, e in CLIPPED.items()) + " from customer",
+)
+def _(t):
+    """A proposal per customer, each parameter a column."""
+    proposals = t.customer.select(F.col("c_custkey").alias("id"), *[(F.col("c_acctbal") / 5000).alias(n) for n in CLIPPED])
+    return stable(md.clip_columns(proposals))

@@ -82,6 +82,29 @@ def staged(build, path: str, spark: SparkSession, made_from: Mapping | None = No
     return spark.read.parquet(path)
 
 
+class StagedRows:
+    """A small table that grows by appended rows, under a folder whose name says what it belongs to."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def read(self) -> DataFrame:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        if not place.getFileSystem(conf).exists(place):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def append(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def staged_table(spark: SparkSession, path: str, made_from: Mapping, schema: str) -> StagedRows:
+    """Rows that were appended under ``path`` for the same ``made_from``, if any, and a way to append more."""
+    text = json.dumps(made_from, sort_keys=True, default=str)
+    return StagedRows(spark, f"{path}-{hashlib.sha256(text.encode()).hexdigest()[:16]}", schema)
+
+
 def file_facts(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """Name, size and time of change of every file at a path; empty if there is none."""
     jvm = spark.sparkContext._jvm

@@ -166,3 +166,11 @@ def test_folds_are_balanced_and_stable(spark, label):
     assert (other.fold.to_numpy() != a.fold.to_numpy()).any()
     rough = assign_folds(df, 5, "id", approx=True).groupBy("fold").count().collect()
     assert sorted(r.fold for r in rough) == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("chunks", [None, 4])
+def test_row_changes_refuse_tied_orders(spark, chunks):
+    df = spark.createDataFrame([(1, 5, 10.0), (1, 5, 20.0), (2, 5, 1.0)], "k int, o int, x double")
+    with pytest.raises(Exception, match="their order is open"):
+        row_changes(df, "k", Momentum(["x"], "o", ["o"]), chunks).collect()
+    assert row_changes(df.where("x <> 20"), "k", Momentum(["x"], "o", ["o"]), chunks).count() == 2

@@ -135,3 +135,75 @@ def test_patience_keeps_the_best_round(people):
     full = estimator.copy({estimator.maxIter: model.getNumTrees + 2}).fit(train)
     aucs = md.round_aucs(full, held.select("features", "label"))
     assert model.getNumTrees == md.best_round(aucs, 2)
+
+
+# ---- the library's own boosting in searches ------------------------------------
+
+BOUNDS = {"max_depth": (1, 4), "reg_lambda": (0, 5), "subsample": (0.5, 1)}
+
+
+def boosted(people, path, **more):
+    from entitymill.operators import boosting as bo
+    from entitymill.operators.search import boosted_search
+
+    base = bo.Settings(rounds=6, rate=0.3, min_rows=5, patience=5)
+    settings = {"init_points": 3, "n_iter": 3, "guided_at_once": 2, "stages": (2,), "k": 2, **more}
+    return boosted_search(people, "SK_ID_CURR", "TARGET", BOUNDS, base, path=path, **settings)
+
+
+def test_boosted_search_goes_on_where_it_stopped(spark, people, monkeypatch, tmp_path):
+    from entitymill.operators import boosting as bo
+    from entitymill.operators import search as se
+
+    path, runs = str(tmp_path / "trials"), []
+    halving = se._halving
+    monkeypatch.setattr(se, "_halving", lambda table, settings, *a: runs.append(len(settings)) or halving(table, settings, *a))
+
+    def broken(table, settings, *a):
+        if len(runs) == 2:
+            raise RuntimeError("lost")
+        return halving(table, settings, *a)
+
+    whole = boosted(people, None)
+    assert runs == [3, 2, 1]
+    trials = {r.trial: r for r in whole.trials.collect()}
+    assert sorted(trials) == list(range(6))
+    best = max(trials.values(), key=lambda r: r.auc)
+    assert whole.best == {n: best[n] for n in BOUNDS} and best.auc > 0.8
+    # After the first stage one of three goes on, then one of two, and the last alone.
+    assert sorted(trials[t].rounds for t in range(3)) == [2, 2, 6] and trials[5].rounds == 6
+
+    runs.clear()
+    monkeypatch.setattr(se, "_halving", lambda table, settings, *a: runs.append(len(settings)) or broken(table, settings, *a))
+    with pytest.raises(RuntimeError):
+        boosted(people, path)
+    assert runs == [3, 2]
+    runs.clear()
+    monkeypatch.setattr(se, "_halving", lambda table, settings, *a: runs.append(len(settings)) or halving(table, settings, *a))
+    again = boosted(people, path)
+    assert runs == [2, 1]
+    assert [tuple(r) for r in again.trials.orderBy("trial").collect()] == [tuple(trials[t]) for t in range(6)]
+    runs.clear()
+    assert boosted(people, path).best == whole.best and runs == []
+    # Another seed is another search.
+    boosted(people, path, seed=5, n_iter=0)
+    assert runs == [3]
+    assert isinstance(bo.LEAF_WISE, bo.Settings)
+
+
+def test_all_published_parameters_act():
+    from entitymill.operators.search import DEPTH_WISE_BASE, DEPTH_WISE_BOUNDS, LEAF_WISE_BASE, LEAF_WISE_BOUNDS, settings_of
+
+    for bounds, base in ((LEAF_WISE_BOUNDS, LEAF_WISE_BASE), (DEPTH_WISE_BOUNDS, DEPTH_WISE_BASE)):
+        for name, (lo, hi) in bounds.items():
+            assert settings_of({name: lo + 0.6 * (hi - lo)}, base) != settings_of({name: lo + 0.3 * (hi - lo)}, base), name
+    assert settings_of({"num_leaves": 40.7, "subsample": 1.5}, LEAF_WISE_BASE).max_leaves == 40
+
+
+def test_clipped_columns_are_as_clipped_parameters(spark):
+    names = ["subsample", "reg_alpha", "num_leaves", "learning_rate"]
+    rows = [(1.7, -2.0, 3.9, 5.0), (-0.5, 2.5, -3.9, -1.0), (0.3, 0.0, 40.0, 0.1)]
+    got = md.clip_columns(spark.createDataFrame([*rows, (None,) * 4], ", ".join(f"{n} double" for n in names))).collect()
+    for row, r in zip(rows, got[:3], strict=True):
+        assert r.asDict() == md.clip_params(dict(zip(names, row, strict=True)))
+    assert got[3].asDict() == dict.fromkeys(names)

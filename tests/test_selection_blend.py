@@ -165,3 +165,66 @@ def test_quantile_lookup_joins_on_no_literal(spark):
     df = spark.range(100).selectExpr("double(id) as v")
     plan = group_quantiles(df, [], "v", [0.5])._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan and "_one" not in plan
+
+
+# ---- weights and cuts together ----------------------------------------------------
+
+
+def mixed_scores(spark, n=400, seed=2):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, n)
+    a, b = (np.clip(0.5 + s * (y - 0.5) + 0.3 * rng.normal(size=n), 0, 1).round(2) for s in (0.3, 0.2))
+    a[:60] = rng.random(60) * 0.09
+    rows = [(int(v) if i % 9 else None, float(a[i]), None if i % 13 == 0 else float(b[i])) for i, v in enumerate(y)]
+    return spark.createDataFrame(rows, "y int, a double, `b.c` double"), rows
+
+
+def plain_mix(mix, scores):
+    def cut(x, lo, hi):
+        return 0.0 if x < lo else 1.0 if x > hi else x
+
+    return cut(sum(w * cut(x, lo, hi) for w, x, lo, hi in zip(mix.weights, scores, mix.lows, mix.highs)), mix.low, mix.high)
+
+
+def plain_auc(pairs):
+    pos, neg = ([s for y, s in pairs if y == v] for v in (1, 0))
+    return sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+
+
+def test_mixes_are_rated_like_brute_force(spark):
+    df, rows = mixed_scores(spark)
+    rng = np.random.default_rng(5)
+    mixes = [bl.mix_of(b[:, 0] + rng.random(len(b)) * (b[:, 1] - b[:, 0]), 2) for b in [bl.mix_bounds(2)] * 12]
+    mixes += [bl.Mix((1.0, 0.0), (0.0, 0.0), (1.0, 1.0)), bl.Mix((0.5, 0.5), (0.3, 0.3), (0.6, 0.6), 0.4, 0.5)]
+    ranks = bl.rank_table(df, "y", ["a", "b.c"])
+    got = {r.mix: r.auc for r in bl.rate_mixes(ranks, mixes).collect()}
+    whole = [(y, (a, b)) for y, a, b in rows if y is not None and b is not None]
+    for i, m in enumerate(mixes):
+        assert got[i] == pytest.approx(plain_auc([(y, plain_mix(m, s)) for y, s in whole]))
+        applied = bl.apply_mix(df, ["a", "b.c"], m, "out").collect()
+        for (_, a, b), r in zip(rows, applied, strict=True):
+            assert r.out is None if b is None else r.out == pytest.approx(plain_mix(m, (a, b)))
+
+
+def test_mixes_of_three_models(spark):
+    assert len(bl.mix_bounds(2)) == 7 and len(bl.mix_bounds(3)) == 11
+    m = bl.mix_of([0.2, 0.2, 0.4, 0.91, 0.01, 0.92, 0.02, 0.93, 0.03, 0.94, 0.04], 3)
+    assert m.weights == pytest.approx((0.25, 0.25, 0.5))
+    assert (m.lows, m.highs, m.low, m.high) == ((0.01, 0.02, 0.03), (0.91, 0.92, 0.93), 0.04, 0.94)
+
+
+def test_best_mix_is_found(spark):
+    df, _ = mixed_scores(spark)
+    ranks = bl.rank_table(df, "y", ["a", "b.c"])
+    grid = [bl.Mix((w / 10, 1 - w / 10), (lo, 0.0), (1.0, 1.0)) for w in range(11) for lo in (0.0, 0.1)]
+    best = max(r.auc for r in bl.rate_mixes(ranks, grid).collect())
+    found = bl.search_mix(df, "y", ["a", "b.c"], generations=8, members=20, tolerance=0.0)
+    history = found.history.orderBy("generation").collect()
+    assert [r.best for r in history] == sorted(r.best for r in history)
+    assert found.auc == history[-1].best > best - 0.005
+    assert found.auc == pytest.approx(bl.rate_mixes(ranks, [found.best]).first().auc)
+    again = bl.search_mix(df, "y", ["a", "b.c"], generations=8, members=20, tolerance=0.0)
+    assert again.best == found.best
+    assert len(bl.search_mix(df, "y", ["a", "b.c"], members=8, tolerance=10.0).history.collect()) == 1
+    nothing = bl.search_mix(df.limit(0), "y", ["a", "b.c"], members=8)
+    assert nothing.auc is None

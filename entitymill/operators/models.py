@@ -29,6 +29,7 @@ from entitymill.operators.clean import (
     min_max_scale,
     to_finite_doubles,
 )
+from entitymill.operators.encode import append_sparse
 from entitymill.operators.folds import SEED, assign_folds
 from entitymill.operators.metrics import roc_auc
 from entitymill.sources.staging import cut_lineage, shared_dir
@@ -243,17 +244,21 @@ def model_matrix(
     label: str,
     features: Sequence[str] | None = None,
     policy: str = SENTINEL,
+    categories: str | None = None,
+    categories_size: int = 0,
 ) -> tuple[DataFrame, list[str]]:
     """(id, label, features vector) for all rows, and the feature names.
 
     ``sentinel`` puts -999 for missing and infinite values. ``mean_scaled``
     fills them with the column mean and scales to [0, 1], both over labelled and
-    unlabelled rows together; a column without any value is left out.
+    unlabelled rows together; a column without any value is left out. ``categories`` names a
+    sparse vector of ``sparse_one_hot``, which comes behind the features; its parts have no names.
     """
     if features is None:
-        features = [c for c in feature_columns(df) if c not in (id_col, label)]
+        features = [c for c in feature_columns(df) if c not in (id_col, label, categories)]
     features = list(features)
-    data = to_finite_doubles(df.select(id_col, label, *[named(c) for c in features]), features)
+    carried = [named(categories)] if categories else []
+    data = to_finite_doubles(df.select(id_col, label, *[named(c) for c in features], *carried), features)
     if policy == SENTINEL:
         data = fill_constant(data, features, -999)
     else:
@@ -266,11 +271,16 @@ def model_matrix(
         named(id_col),
         named(label).cast("double").alias("label"),
         *[named(c).alias(f"f{i}") for i, c in enumerate(features)],
+        *[c.alias("_categories") for c in carried],
     )
     assembler = VectorAssembler(
         inputCols=[f"f{i}" for i in range(len(features))], outputCol="features"
     )
-    return assembler.transform(plain).select(id_col, "label", "features"), features
+    matrix = assembler.transform(plain)
+    if categories:
+        matrix = matrix.select(id_col, "label", "features", "_categories")
+        matrix = append_sparse(matrix, "features", len(features), "_categories", categories_size)
+    return matrix.select(id_col, "label", "features"), features
 
 
 def _probability(model, rows: DataFrame, name: str = "prediction") -> DataFrame:

@@ -59,14 +59,36 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, path: str, key: str, build=None, buckets: int | None = None) -> DataFrame:
+    """A table under ``path`` that is hashed and sorted by ``key``, one file a bucket.
+
+    Joins of such tables on their key move no row. With ``build`` (a function
+    without arguments that returns the frame) it is written first; otherwise it must be there.
+    """
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"staged_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    if build is not None:
+        rows = build().repartition(buckets, f"`{key}`").sortWithinPartitions(f"`{key}`")
+        out = rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        out.option("path", path).saveAsTable(name)
+    elif not spark.catalog.tableExists(name):
+        # Written by another session: the table's description is made anew from its files.
+        fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(
+            f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`)"
+            f" INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+    return spark.table(name)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def staged(build, path: str, spark: SparkSession, made_from: Mapping | None = None) -> DataFrame:
-    """Feature table written under ``path``, and read from there.
+def staged(build, path: str, spark: SparkSession, made_from: Mapping | None = None, key: str | None = None) -> DataFrame:
+    """Feature table written under ``path``, and read from there; with ``key`` it is bucketed by it.
 
     ``build`` is a function without arguments that returns the frame. ``made_from``
     says all that decides its rows (input files, row limits, orders, options); it
@@ -75,9 +97,14 @@ def staged(build, path: str, spark: SparkSession, made_from: Mapping | None = No
     written once its success marker is there.
     """
     if made_from is not None:
+        if key is not None:  # How many buckets there are is part of what a table is.
+            made_from = {**made_from, "buckets": spark.conf.get("spark.sql.shuffle.partitions")}
         text = json.dumps(made_from, sort_keys=True, default=str)
         path = f"{path}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
-    if made_from is None or not _is_written(spark, path):
+    build = None if made_from is not None and _is_written(spark, path) else build
+    if key is not None:
+        return bucketed(spark, path, key, build)
+    if build is not None:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

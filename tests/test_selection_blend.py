@@ -228,3 +228,74 @@ def test_best_mix_is_found(spark):
     assert len(bl.search_mix(df, "y", ["a", "b.c"], members=8, tolerance=10.0).history.collect()) == 1
     nothing = bl.search_mix(df.limit(0), "y", ["a", "b.c"], members=8)
     assert nothing.auc is None
+
+
+# ---- tiles of columns, sparse categories ------------------------------------------
+
+
+def test_tiles_give_the_same_correlations(spark):
+    from entitymill.operators.select import correlated_columns, correlations
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 23))
+    x[:, 11] = 2 * x[:, 3] + 0.01 * rng.normal(size=300)
+    x[:, 20] = -x[:, 19]
+    x[:, 7] = 4.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[5, 14] = np.inf
+    names = [f"c.{i}" for i in range(23)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).astype(object).where(~np.isnan(x), None).values.tolist(), ", ".join(f"`{n}` double" for n in names)).repartition(5)
+    with np.errstate(invalid="ignore"):
+        want = pd.DataFrame(x).corr(min_periods=1).to_numpy()
+    for tile in (4, 10, 256):
+        got = np.full((23, 23), np.nan)
+        for r in correlations(df, names, tile=tile).collect():
+            assert r.a < r.b
+            got[r.a, r.b] = np.nan if r.correlation is None else r.correlation
+        assert np.isnan(got[14, 15:]).all() and np.isnan(got[7, 8:]).all()
+        for i in range(23):
+            for j in range(i + 1, 23):
+                if 7 not in (i, j) and 14 not in (i, j):
+                    assert got[i, j] == pytest.approx(want[i, j])
+    strong = {(r.a, r.b) for r in correlations(df, names, 0.9, tile=6).collect()}
+    assert strong == {(3, 11), (19, 20)} and correlated_columns(df) == ["c.11", "c.20"]
+    assert correlations(df, []).count() == 0 and correlations(df.limit(0), names[:3]).where("correlation is not null").count() == 0
+
+
+def test_sparse_categories_equal_one_hot_columns(spark):
+    from entitymill.operators.encode import category_index, one_hot, sparse_one_hot
+
+    rows = [(i, ["b", "a", None, "", "é"][i % 5], None if i % 3 else "x", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, `p.q` string, r string, z double").repartition(3)
+    for missing in (True, False):
+        plain, names = one_hot(df, missing)
+        vectors, size = sparse_one_hot(df, missing=missing)
+        assert size == len(names) and vectors.columns == ["id", "z", "categories"]
+        want = {r["id"]: [r[n] for n in names] for r in plain.collect()}
+        got = {r.id: r.categories.toArray().astype(int).tolist() for r in vectors.collect()}
+        assert got == want
+    # Values that another table lacks get no position.
+    index = category_index(df.where("id % 5 <> 0"), ["p.q", "r"])
+    vectors, size = sparse_one_hot(df, ["p.q", "r"], index=index)
+    assert size == 6 and all(len(r.categories.indices) == (1 if r.id % 5 == 0 else 2) for r in vectors.collect())
+    nothing, size = sparse_one_hot(df.limit(0), missing=False)
+    assert size == 0 and nothing.count() == 0
+
+
+def test_a_million_categories_reach_the_matrix(spark):
+    from pyspark.sql import functions as F
+
+    from entitymill.operators.encode import sparse_one_hot
+    from entitymill.operators.models import model_matrix
+
+    df = spark.range(1_000_000).select("id", (F.col("id") % 2).cast("double").alias("y"), F.lit(2.5).alias("a"), F.concat(F.lit("v"), "id").alias("c"))
+    vectors, size = sparse_one_hot(df)
+    assert size == 1_000_001
+    matrix, names = model_matrix(vectors, "id", "y", categories="categories", categories_size=size)
+    assert names == ["a"]
+    for r in matrix.where("id % 250007 = 0").collect():
+        v = r.features
+        assert v.size == size + 1 and v.indices[0] == 0 and v.values.tolist() == [2.5, 1.0]
+    places = matrix.select(F.unwrap_udt("features").getField("indices")[1].alias("at"))
+    assert places.distinct().count() == 1_000_000
+    assert len(str(matrix.schema["features"].metadata)) < 1000

@@ -1,6 +1,7 @@
 """CSV reading, file order, staging and sinks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from entitymill.sources import staging
 from entitymill.sources import tables as src
@@ -86,3 +87,33 @@ def test_sinks(spark, tmp_path):
     assert src.read_csv(spark, str(tmp_path / "oof")).columns == ["id", "y", "OOF_PRED"]
     best = src.read_csv(spark, str(tmp_path / "best")).first()
     assert (best.a, best.b) == (0.5, 2.0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_stages_join_without_an_exchange(spark, tmp_path):
+    from entitymill.operators.attach import attach_all
+
+    n = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = {"rows": 500}
+        build = lambda i: lambda: spark.range(500).select("id", (F.col("id") * (i + 1)).alias(f"x.{i}"))
+        frames = [staging.staged(build(i), str(tmp_path / f"t{i}"), spark, made, key="id") for i in range(6)]
+        joined = attach_all(frames[0], frames[1:], "id")
+        rows = {r["id"]: r for r in joined.collect()}
+        assert rows[7].asDict() == {"id": 7, **{f"x.{i}": 7 * (i + 1) for i in range(6)}}
+        assert "Exchange" not in plan_of(joined) and "SortMergeJoin" in plan_of(joined)
+        # Another session knows nothing of the table, but finds what was written.
+        name = [t.name for t in spark.catalog.listTables() if t.name.startswith("staged_")]
+        for t in name:
+            spark.sql(f"DROP TABLE {t}")
+        again = [staging.staged(lambda: 1 / 0, str(tmp_path / f"t{i}"), spark, made, key="id") for i in range(6)]
+        joined = attach_all(again[0], again[1:], "id")
+        assert joined.count() == 500 and "Exchange" not in plan_of(joined.select("id", "`x.5`"))
+        for t in name:
+            spark.sql(f"DROP TABLE {t}")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", n)

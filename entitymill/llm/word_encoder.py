@@ -11,10 +11,10 @@ from unicodedata import normalize
 import numpy as np
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-# ASCII punctuation that no contraction starts with.
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-# A run of it behind a small letter (ASCII or Latin-1) and before white space is a unit of its own.
-TAIL = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([" + re.escape(PUNCTUATION).encode() + rb"]+)(?=\s|\Z)")
+# One ASCII mark (but no apostrophe, with which contractions start) behind a small letter, ASCII
+# or Latin-1, and before white space is a unit of its own. Marks are fewer than letters, so they
+# are what the pattern looks for first.
+TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?=\s|\Z)(?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))")
 # Byte-level models write a byte that is no printable character as one from U+0100 on.
 _UNPRINTABLE = [*range(0, 33), *range(127, 161), 173]
 BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(_UNPRINTABLE)}
@@ -94,7 +94,7 @@ class WordEncoder:
             if not (b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw):
                 # Without special tokens, and without marks (U+0300 to U+037F) that would join a
                 # letter differently in either case, ASCII letters may be lower-cased first.
-                raw = TAIL.sub(rb" \1", raw.lower())
+                raw = TAIL.sub(rb" \g<0>", raw.lower())
             words = raw.split()
             for a in range(0, len(words), block):
                 run.append((i, words[a : a + block]))

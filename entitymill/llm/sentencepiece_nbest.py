@@ -5,8 +5,9 @@ score of reaching it from the start; used as heuristic of a backward A* search t
 exact, so the search completes segmentations in the order of their score and expands
 nothing else.
 
-No piece crosses certain borders (before white space after something else, and around
-characters that are in no piece of two or more), so the lattice falls apart there into
+No piece crosses certain borders (before white space after something else, between a word
+and a mark that no piece has behind a letter, and around characters that are in no piece
+of two or more), so the lattice falls apart there into
 units; the n best of a text are put together from the n best of its units, and these
 are kept for units that come again. New units of a block of texts are searched side by
 side, as rows of arrays; single long ones with a heap.
@@ -33,6 +34,9 @@ from entitymill.llm.common import map_texts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BLANK = "▁"
+#: Letters (ASCII and Latin), and marks that often follow a word.
+LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
+MARKS = ".,;:!?)"
 #: Units of more characters are not kept.
 KEPT_LENGTH = 48
 #: Cost of a change that does not exist.
@@ -136,7 +140,11 @@ class Lattice:
                 node[""] = (self.score[i], (i,))
         joined = "".join(self.pairs)
         lone = "".join(c for c in "\n\t\r" if c not in joined)
-        self.units = re.compile(f"{BLANK}*[^{BLANK}{lone}]+|{BLANK}+|[{lone}]" if lone else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        # Where no piece has one of these marks behind a letter, a word ends in front of them.
+        behind_letters = {p[1] for p in self.pairs if LETTER.fullmatch(p[0])}
+        marks = re.escape("".join(c for c in MARKS if c not in behind_letters))
+        word = f"{BLANK}*{LETTER.pattern}++(?![^{BLANK}{marks}{lone}])|" if marks else ""
+        self.units = re.compile(word + (f"{BLANK}*[^{BLANK}{lone}]+|{BLANK}+|[{lone}]" if lone else f"{BLANK}*[^{BLANK}]+|{BLANK}+"))
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.steps = _Steps(self.tree)
@@ -402,10 +410,16 @@ class Lattice:
         options.sort()
         return [(cost, [(-place, rank) for place, rank in order]) for cost, order in options[:n]]
 
+    def _raw(self, ids: Sequence[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).removeprefix(b" ")
+
     def decode(self, ids: Sequence[int]) -> str:
         """The text of a segmentation: pieces' bytes without the blank put in front."""
-        raw = b"".join([self.bytes_of[i] for i in ids])
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+        return self._raw(ids).decode("utf-8", "replace")
+
+    def decodes_to(self, ids: Sequence[int], text: str, raw: bytes) -> bool:
+        """Whether ``decode`` gives ``text``, which was read from ``raw``."""
+        return self._raw(ids) == raw or self.decode(ids) == text
 
 
 @lru_cache(maxsize=2)
@@ -434,19 +448,20 @@ def segment(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str =
         def run(texts: list) -> dict:
             names = ("n_found", "n_pieces", "score", "scores", "ids_crc32", "round_trip", "ids")
             columns = {k: [] for k in names}
-            texts = [(raw or b"").decode("utf-8", "replace") for raw in texts]
+            raws = [raw or b"" for raw in texts]
+            texts = [raw.decode("utf-8", "replace") for raw in raws]
             # Units make no reference cycles, but very many objects to look for cycles in.
             gc.disable()
             try:
                 encoded = lattice.encode_all(texts)
             finally:
                 gc.enable()
-            for text, found in zip(texts, encoded, strict=True):
+            for raw, text, found in zip(raws, texts, encoded, strict=True):
                 ids = [np.frombuffer(i, "<u2") for _, i in found]
                 values = (
                     len(found), len(ids[0]), found[0][0], ",".join(str(s) for s, _ in found),
                     ",".join(str(zlib.crc32(i.astype("<u4").tobytes())) for i in ids),
-                    lattice.decode(ids[0].tolist()) == text, [i for _, i in found],
+                    lattice.decodes_to(ids[0].tolist(), text, raw), [i for _, i in found],
                 )
                 for k, v in zip(names, values, strict=True):
                     columns[k].append(v)

@@ -6,7 +6,9 @@ of an entry add up its resident members, the entries become their means, and the
 compare their members with the new entries: members that keep their entry are written
 where they are, and only those that change it take part in the next shuffle.
 
-All arithmetic is exact: components become whole numbers, entries are floors of means.
+A row of the table is a block of parts of one (position, entry); their numbers and components
+lie in two binary columns, so Spark moves blocks and numpy works on whole arrays. All
+arithmetic is exact: components become whole numbers, entries are floors of means.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitymill.llm.common import scratch
@@ -25,8 +28,10 @@ from entitymill.sources.staging import remove, share_code
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Largest size of a component once scaled.
 MOST = 1 << 62
-MEMBER, MOVER, SUM = "member", "mover", "sum"
-SUMS = pa.list_(pa.decimal128(38, 0))
+#: Parts a block.
+BLOCK = 4_096
+#: Kinds of rows: blocks that stay, blocks that move, sums of an owner, ids and labels of vectors.
+MEMBER, MOVER, SUM, NAME = "member", "mover", "sum", "name"
 
 
 def scaled(values: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -53,26 +58,55 @@ class Sums:
     def __init__(self):
         self.cells: dict[tuple[int, int], list] = {}
 
-    def add(self, position: np.ndarray, entry: np.ndarray, parts: np.ndarray) -> None:
-        cell = position.astype(np.int64) << 32 | entry
-        for c in np.unique(cell).tolist():
-            some = parts[cell == c]
-            # Half words, so that no sum of a batch overflows.
-            low, high = (some & 0xFFFFFFFF).sum(axis=0).tolist(), (some >> 32).sum(axis=0).tolist()
-            total = self.cells.setdefault((c >> 32, c & 0xFFFFFFFF), [0, [0] * parts.shape[1]])
-            total[0] += len(some)
-            total[1] = [t + (h << 32) + l for t, h, l in zip(total[1], high, low, strict=True)]
+    def add(self, position: int, entry: int, parts: np.ndarray) -> None:
+        if not len(parts):
+            return
+        # Half words, so that no sum of a block overflows.
+        low, high = (parts & 0xFFFFFFFF).sum(axis=0).tolist(), (parts >> 32).sum(axis=0).tolist()
+        total = self.cells.setdefault((position, entry), [0, [0] * parts.shape[1]])
+        total[0] += len(parts)
+        total[1] = [t + (h << 32) + l for t, h, l in zip(total[1], high, low, strict=True)]
 
 
-def _schema(id_type: pa.DataType, label_type: pa.DataType) -> pa.Schema:
-    return pa.schema(
-        [("row", pa.int64()), ("id", id_type), ("label", label_type), ("position", pa.int32()), ("entry", pa.int32()),
-         ("part", pa.binary()), ("n", pa.int64()), ("sums", SUMS), ("kind", pa.string())]
-    )
+class Blocks:
+    """Parts gathered by (position, entry), given out as blocks of up to ``BLOCK``.
+
+    Blocks of an entry take turns in their salts, as it may have any share of all parts.
+    """
+
+    def __init__(self, kind: str, salts: int = 1, salt: int = 0):
+        self.kind, self.salts, self.salt = kind, salts, salt
+        self.waiting: dict[tuple[int, int], list] = {}
+        self.out: list[dict] = []
+
+    def add(self, position: int, entry: int, rows: np.ndarray, parts: np.ndarray) -> None:
+        for a in range(0, len(rows), BLOCK):
+            held = self.waiting.setdefault((position, entry), [0, [], []])
+            held[0] += len(rows[a : a + BLOCK])
+            held[1].append(rows[a : a + BLOCK])
+            held[2].append(parts[a : a + BLOCK])
+            if held[0] >= BLOCK:
+                self._close(position, entry)
+
+    def _close(self, position: int, entry: int) -> None:
+        n, rows, parts = self.waiting.pop((position, entry))
+        self.salt = (self.salt + 1) % self.salts
+        self.out.append({
+            "position": position, "entry": entry, "salt": self.salt, "n": n, "rows": np.concatenate(rows).astype("<i8").tobytes(),
+            "parts": np.concatenate(parts).astype("<i8").tobytes(), "kind": self.kind,
+        })
+
+    def taken(self, last: bool = False) -> list[dict]:
+        """The blocks that are full, or at last all."""
+        for position, entry in list(self.waiting) if last else []:
+            self._close(position, entry)
+        out, self.out = self.out, []
+        return out
 
 
-def _parts(column: pa.Array) -> np.ndarray:
-    return np.array([np.frombuffer(p, "<i8") for p in column.to_pylist()], np.int64).reshape(len(column), -1)
+def _parts_of(rows: bytes, parts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(rows, "<i8")
+    return numbers, np.frombuffer(parts, "<i8").reshape(len(numbers), -1)
 
 
 class Lloyd:
@@ -89,12 +123,16 @@ class Lloyd:
         fits = (F.size("vector") == self.width) if self.width else F.lit(False)
         self.misfits = kept.where(~fits).select("id", "label")
         self.kept = kept.where(fits)
-        id_type, label_type = (_arrow_type(rows.schema[c]) for c in ("id", "label"))
-        self.schema = _schema(id_type, label_type)
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        id_type, label_type = (_arrow_type(rows.schema[c]) for c in ("id", "label"))
+        self.name_types = pa.list_(id_type), pa.list_(label_type)
+        self.schema = pa.schema(
+            [("position", pa.int32()), ("entry", pa.int32()), ("salt", pa.int32()), ("n", pa.int64()), ("rows", pa.binary()), ("parts", pa.binary()),
+             ("sums", pa.list_(pa.decimal128(38, 0))), ("ids", self.name_types[0]), ("labels", self.name_types[1]), ("kind", pa.string())]
+        )
         self.fields = (
-            f"row long, id {kinds['id']}, label {kinds['label']}, position int, entry int, part binary, n long,"
-            " sums array<decimal(38,0)>, kind string"
+            "position int, entry int, salt int, n long, rows binary, parts binary, sums array<decimal(38,0)>,"
+            f" ids array<{kinds['id']}>, labels array<{kinds['label']}>, kind string"
         )
         self.partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # Many salts: an entry may have any share of a position's members.
@@ -119,32 +157,37 @@ class Lloyd:
 
     # ---- passes ------------------------------------------------------------
 
-    def _cut(self) -> DataFrame:
-        """All parts with their nearest first entries. The part at position 0 carries id and label."""
-        codebooks, schema, parts, scale, width = self.codebooks, self.schema, self.parts, self.scale, self.width
+    def _cut(self, path: str) -> None:
+        """Write all parts as movers to their nearest first entries, and the vectors' ids and labels."""
+        codebooks, schema, parts, scale, width, salts = self.codebooks, self.schema, self.parts, self.scale, self.width, self.salts
+        name_types = self.name_types
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            movers = Blocks(MOVER, salts, TaskContext.get().partitionId() % salts)
             for batch in batches:
                 n = batch.num_rows
-                vector = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(n, width)
-                for p, values in enumerate(np.split(scaled(vector, scale), parts, axis=1)):
-                    entry, _ = nearest(values, codebooks[p])
-                    raw = np.ascontiguousarray(values)
-                    carried = [batch.column(c) if p == 0 else pa.nulls(n, schema.field(c).type) for c in ("id", "label")]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("row"), *carried, pa.array(np.full(n, p, np.int32)), pa.array(entry.astype(np.int32)),
-                         pa.array([v.tobytes() for v in raw], pa.binary()), *(pa.nulls(n, schema.field(c).type) for c in ("n", "sums")),
-                         pa.array([MOVER] * n)],
-                        schema=schema,
-                    )
-
-        rows = self.kept.withColumn("row", F.monotonically_increasing_id())
-        return rows.mapInArrow(cut, self.fields)
+                if not n:
+                    continue
+                numbers = batch.column("row").to_numpy()
+                vectors = scaled(batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(n, width), scale)
+                for p, values in enumerate(np.split(vectors, parts, axis=1)):
+                    _spread(movers, p, nearest(values, codebooks[p])[0], numbers, values)
+                ends = pa.array([0, n], pa.int32())
+                names = [pa.ListArray.from_arrays(ends, batch.column(c)).cast(t) for c, t in zip(("id", "label"), name_types, strict=True)]
+                some = {"n": pa.array([n], pa.int64()), "rows": pa.array([numbers.astype("<i8").tobytes()], pa.binary()),
+                        "ids": names[0], "labels": names[1], "kind": pa.array([NAME])}
+                yield pa.RecordBatch.from_arrays([some.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema)
+                yield pa.RecordBatch.from_pylist(movers.taken(), schema=schema)
+            yield pa.RecordBatch.from_pylist(movers.taken(True), schema=schema)
+
+        self._write(self.kept.withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, self.fields), path)
+
+    def _write(self, rows: DataFrame, path: str) -> None:
+        rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
 
     def _settled(self, movers: DataFrame, path: str) -> None:
-        """Shuffle ``movers`` to the owners of their entries, and write them there with their sums."""
-        salt = F.pmod(F.xxhash64("row"), F.lit(self.salts))
-        dealt = movers.repartition(self.partitions, "position", "entry", salt).sortWithinPartitions("position", "entry")
+        """Shuffle the blocks of ``movers`` to the owners of their entries, and write them there with their sums."""
+        dealt = movers.repartition(self.partitions, "position", "entry", "salt").sortWithinPartitions("position", "entry")
         self._owned(dealt, None, path)
 
     def _owned(self, members: DataFrame, codebooks: np.ndarray | None, path: str) -> None:
@@ -152,33 +195,27 @@ class Lloyd:
 
         Without ``codebooks`` all stay.
         """
-        schema = self.schema
+        schema, salts = self.schema, self.salts
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = Sums()
+            sums, stay, move = Sums(), Blocks(MEMBER), Blocks(MOVER, salts, TaskContext.get().partitionId() % salts)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                position, entry = (batch.column(c).to_numpy() for c in ("position", "entry"))
-                parts, new = _parts(batch.column("part")), entry.copy()
-                if codebooks is not None:
-                    for p in np.unique(position).tolist():
-                        at = position == p
-                        new[at] = nearest(parts[at], codebooks[p])[0]
-                stay = new == entry
-                sums.add(position[stay], entry[stay], parts[stay])
-                kind = pa.DictionaryArray.from_arrays(pa.array((~stay).astype(np.int8)), pa.array([MEMBER, MOVER])).cast(pa.string())
-                columns = [*batch.columns[:4], pa.array(new, pa.int32()), *batch.columns[5:8], kind]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-            if sums.cells:
-                rows = [{"position": p, "entry": e, "n": n, "sums": s, "kind": SUM} for (p, e), (n, s) in sums.cells.items()]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-        members.mapInArrow(own, self.fields).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+                columns = (batch.column(c).to_pylist() for c in ("position", "entry", "rows", "parts"))
+                for position, entry, rows, parts in zip(*columns, strict=True):
+                    rows, parts = _parts_of(rows, parts)
+                    new = np.full(len(rows), entry) if codebooks is None else nearest(parts, codebooks[position])[0]
+                    same = new == entry
+                    sums.add(position, entry, parts[same])
+                    stay.add(position, entry, rows[same], parts[same])
+                    _spread(move, position, new[~same], rows[~same], parts[~same])
+                yield pa.RecordBatch.from_pylist(stay.taken() + move.taken(), schema=schema)
+            rest = [{"position": p, "entry": e, "n": n, "sums": s, "kind": SUM} for (p, e), (n, s) in sums.cells.items()]
+            yield pa.RecordBatch.from_pylist(stay.taken(True) + move.taken(True) + rest, schema=schema)
+
+        self._write(members.mapInArrow(own, self.fields), path)
 
     def _read(self, paths: Sequence[str], kind: str) -> DataFrame:
-        schema = ", ".join(f for f in self.fields.split(", "))
-        frames = [self.spark.read.schema(schema).parquet(p).where(F.col("kind") == kind) for p in paths]
+        frames = [self.spark.read.schema(self.fields).parquet(p).where(F.col("kind") == kind) for p in paths]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionAll(f)
@@ -198,8 +235,11 @@ class Lloyd:
 
     def train(self, rounds: int) -> None:
         """``rounds`` rounds of assigning all parts and averaging; the members lie under ``self.paths`` afterwards."""
+        self.names = scratch(self.spark, "codes-cut")
         self.paths = [scratch(self.spark, "codes-members")]
-        self._settled(self._cut(), self.paths[0])
+        self._cut(self.names)
+        self._settled(self._read([self.names], MOVER), self.paths[0])
+        remove(self.spark, f"{self.names}/kind={MOVER}")
         for r in range(rounds):
             self.codebooks = self._means(self.paths)
             if r + 1 == rounds:
@@ -207,7 +247,7 @@ class Lloyd:
             stayed, arrived = scratch(self.spark, "codes-members"), scratch(self.spark, "codes-arrived")
             self._owned(self._read(self.paths, MEMBER), self.codebooks, stayed)
             movers = self._read([stayed], MOVER)
-            self.moved.append(movers.count())
+            self.moved.append(movers.agg(F.sum("n")).first()[0] or 0)
             self._settled(movers, arrived)
             for path in self.paths:
                 remove(self.spark, path)
@@ -215,30 +255,29 @@ class Lloyd:
 
     def codes(self) -> DataFrame:
         """(id, label, code, error) of every kept vector with the final codebooks."""
-        codebooks, schema = self.codebooks, self.schema
+        codebooks = self.codebooks
 
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                position, parts = batch.column("position").to_numpy(), _parts(batch.column("part"))
-                entry, error = np.zeros(len(parts), np.int32), np.zeros(len(parts), object)
-                for p in np.unique(position).tolist():
-                    at = position == p
-                    entry[at], error[at] = nearest(parts[at], codebooks[p])
-                columns = [*batch.columns[:4], pa.array(entry), pa.array(error.tolist(), pa.decimal128(38, 0))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        names = [*schema.names[:5], "error"]
-        fields = ", ".join([*self.fields.split(", ")[:5], "error decimal(38,0)"])
-        parts = self._read(self.paths, MEMBER).mapInArrow(code, fields)
-        digits = F.lower(F.lpad(F.hex("entry"), 2, "0"))
-        whole = parts.groupBy("row").agg(
-            F.max("id").alias("id"),
-            F.max("label").alias("label"),
-            F.sort_array(F.collect_list(F.struct("position", digits.alias("digits")))).alias("digits"),
-            F.sum("error").cast("long").alias("error"),
-        )
+                for position, rows, parts in zip(*(batch.column(c).to_pylist() for c in ("position", "rows", "parts")), strict=True):
+                    rows, parts = _parts_of(rows, parts)
+                    entry, error = nearest(parts, codebooks[position])
+                    columns = [pa.array(rows), pa.array(np.full(len(rows), position, np.int32)), pa.array(entry.astype(np.int32)),
+                               pa.array(error if error.dtype == np.int64 else error.tolist(), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "position", "entry", "error"])
+
+        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    rows = np.frombuffer(batch.column("rows")[k].as_py(), "<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array(rows), *(batch.column(c)[k].values for c in ("ids", "labels"))], names=["_row", "id", "label"])
+
+        parts = self._read(self.paths, MEMBER).mapInArrow(code, "row long, position int, entry int, error long")
+        digits = F.struct("position", F.lower(F.lpad(F.hex("entry"), 2, "0")).alias("digits"))
+        whole = parts.groupBy("row").agg(F.sort_array(F.collect_list(digits)).alias("digits"), F.sum("error").alias("error"))
+        kinds = [self.misfits.schema[c].dataType.simpleString() for c in ("id", "label")]
+        names = self._read([self.names], NAME).mapInArrow(name, f"_row long, id {kinds[0]}, label {kinds[1]}")
+        whole = whole.join(names, whole["row"] == names["_row"])
         whole = whole.select("id", "label", F.array_join(F.col("digits.digits"), "").alias("code"), "error")
         misfits = self.misfits.withColumns({"code": F.lit(None).cast("string"), "error": F.lit(None).cast("long")})
         return whole.unionByName(misfits)
@@ -247,6 +286,13 @@ class Lloyd:
         return hashlib.sha256(",".join(str(x) for x in self.codebooks.ravel().tolist()).encode()).hexdigest()
 
 
+def _spread(blocks: Blocks, position: int, entry: np.ndarray, rows: np.ndarray, parts: np.ndarray) -> None:
+    """Put parts into the blocks of their entries."""
+    for e in np.unique(entry).tolist():
+        at = entry == e
+        blocks.add(position, e, rows[at], parts[at])
+
+
 def _arrow_type(field) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

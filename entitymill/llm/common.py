@@ -4,26 +4,46 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from entitymill.sources.staging import share_code, shared_dir
+from entitymill.sources.staging import remove, share_code, shared_dir
 
 #: White space of all operators: blank, tab, line feed, vertical tab, form feed, carriage return.
 #: ``bytes.split()`` without arguments splits at exactly these.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+_SCOPES: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share."""
+    path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    for paths in _SCOPES:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all ``scratch`` paths that were made inside; what is to last must be written elsewhere by then."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            remove(spark, path)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written once and read again: its lineage is cut, lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
+    path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

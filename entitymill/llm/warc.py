@@ -16,10 +16,12 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitymill.llm.common import written
+from entitymill.sources.staging import share_code
 
 # Marks and profile of the format.
 MAGIC = b"WARC/1.0\r\n"
@@ -28,7 +30,11 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 LEAST_REVISIT = 100
 
+#: Stands, with the size of an archive, for its end among the candidates.
+END = "end"
+
 _MAGIC = re.compile(re.escape(MAGIC))
+_FIELD = re.compile(rb"[!-9;-~]+[ \t]*:[^\r\n]*\r\n")
 _RECORD = re.compile(r"<urn:page:(\d+):(-?\d*)>")
 
 
@@ -37,7 +43,8 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Of equal payloads of at least 100 bytes the one with the smallest id (null last; of
     equal ids the first row) is a response, the others revisit it and hold no payload. A
-    null payload is empty, a null address is left out.
+    null payload is empty, a null address is left out. An empty table has no records, and
+    further columns play no part.
     """
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     rows = pages.select(
@@ -97,13 +104,27 @@ def _escaped(text):
     return out
 
 
-def write_archives(records: DataFrame, path: str, records_a_file: int = 5_000) -> None:
-    """Compressed archives under ``path``, at most ``records_a_file`` records each.
+def write_archives(records: DataFrame, path: str, records_a_file: int = 5_000, bytes_a_file: int = 128_000_000) -> None:
+    """Compressed archives under ``path``, of at most ``records_a_file`` records and ``bytes_a_file``
+    bytes before compression, or one larger record.
 
     A record ends with ``CLOSE``, which is what Spark's text writer puts after each row.
     """
-    out = records.write.option("lineSep", CLOSE).option("compression", "gzip")
-    out.option("maxRecordsPerFile", records_a_file).text(path)
+    share_code(records.sparkSession)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, count, size = 0, 0, 0
+        for batch in batches:
+            numbers = []
+            for n in pc.binary_length(batch.column(0)).to_pylist():
+                if count and (count == records_a_file or size + n > bytes_a_file):
+                    number, count, size = number + 1, 0, 0
+                count, size = count + 1, size + n + len(CLOSE)
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int32())], names=["record", "archive"])
+
+    dealt = records.select("record").mapInArrow(deal, "record string, archive int")
+    dealt.write.partitionBy("archive").option("lineSep", CLOSE).option("compression", "gzip").text(path)
 
 
 FIELDS = (
@@ -123,15 +144,21 @@ def _page(field: str | None) -> int | None:
 
 
 def parse_at(data: bytes, at: int) -> dict | None:
-    """The record that would start at ``at``, or None if no whole one can."""
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
+    """The record that would start at ``at``, or None if no whole one can.
+
+    Its header ends at the first line that is no field, so what follows another magic
+    is not read again.
+    """
+    end = at + len(MAGIC)
+    while field := _FIELD.match(data, end):
+        end = field.end()
+    if not data.startswith(b"\r\n", end):
         return None
     fields = _headers(data[at + len(MAGIC) : end])
     size = fields.get("content-length", "")
     if not (size.isascii() and size.isdigit() and "warc-type" in fields):
         return None
-    start, stop = end + 4, end + 4 + int(size)
+    start, stop = end + 2, end + 2 + int(size)
     if data[stop : stop + 4] != b"\r\n\r\n":
         return None
     head, _, payload = data[start:stop].partition(b"\r\n\r\n")
@@ -149,7 +176,8 @@ def parse_at(data: bytes, at: int) -> dict | None:
 
 
 def candidates(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Every place in the archives under ``path`` where a record could start, with its successor.
+    """Every place in the archives under ``path`` where a record could start, with its successor,
+    and the end of every archive.
 
     One task reads one archive at a time, so memory follows the size of an archive.
     Payloads are given only if asked for.
@@ -174,10 +202,12 @@ def candidates(spark: SparkSession, path: str, payloads: bool = False) -> DataFr
                     if len(rows) >= 10_000 or size >= 16_000_000:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows, size = [], 0
+                rows.append({"file": file, "at": len(data), "kind": END})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     # Each archive is a row of its own size: few of them at a time go to Python.
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    share_code(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(find, FIELDS)
 
 
@@ -201,12 +231,18 @@ def reachable(found: DataFrame) -> DataFrame:
     return reached
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = False, whole: bool = False) -> DataFrame:
     """The records of all archives under ``path``: the candidates that are reached.
 
-    Records found only inside payloads are not given. A damaged archive gives its
-    records up to the damage; an empty one gives none.
+    Records found only inside payloads are not given. A damaged or cut archive gives its
+    records up to the damage, or with ``whole`` a ValueError: the chain must reach its end.
+    An empty one gives none.
     """
     found = written(candidates(spark, path, payloads), "warc-candidates")
     kept = reachable(found.select("file", "at", "to"))
-    return found.join(kept.hint("shuffle_hash"), ["file", "at"], "left_semi")
+    if whole:
+        ends = found.where(F.col("kind") == END).select("file", "at")
+        cut = ends.join(kept.hint("shuffle_hash"), ["file", "at"], "left_anti").select("file").limit(3).collect()
+        if cut:
+            raise ValueError(f"archives that are cut or damaged: {', '.join(r['file'] for r in cut)}")
+    return found.where(F.col("kind") != END).join(kept.hint("shuffle_hash"), ["file", "at"], "left_semi")

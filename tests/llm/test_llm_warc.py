@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import time
 
 import pytest
 from compare import assert_same, connect
@@ -79,6 +80,38 @@ def test_damage_ends_the_chain(spark, tmp_path):
     assert sorted(r.page for r in warc.read_archives(spark, str(tmp_path)).collect()) == [1, 2]
 
 
+def test_cut_archives_can_be_refused(spark, tmp_path):
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:0:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for name, data, n in (("whole", record * 3, 3), ("empty", b"", 0)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        assert warc.read_archives(spark, str(tmp_path / name), whole=True).count() == n
+    for name, data in (("cut", record * 2 + record[:-1]), ("junk", b"x" + record), ("behind", record + b"\r\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        with pytest.raises(ValueError, match="cut or damaged"):
+            warc.read_archives(spark, str(tmp_path / name), whole=True)
+
+
+def test_many_magics_take_linear_time():
+    data = warc.MAGIC * 200_000 + b"\r\n\r\n"
+    start = time.perf_counter()
+    assert not any(warc.parse_at(data, m.start()) for m in warc._MAGIC.finditer(data))
+    assert time.perf_counter() - start < 5
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    rows = [(i, "u", "x" * 50_000 + str(i)) for i in range(40)] + [(99, "u", "y" * 400_000)]
+    path = scratch(spark, "test-warc")
+    warc.write_archives(warc.page_records(pages(spark, rows)), path, bytes_a_file=200_000)
+    read = warc.read_archives(spark, path, whole=True).collect()
+    assert sorted(r.page for r in read) == [*range(40), 99]
+    sizes = {}
+    for r in read:
+        sizes[r.file] = max(sizes.get(r.file, 0), r.to)
+    assert all(s <= 201_000 for s in sizes.values() if s < 400_000) and len(sizes) >= 14
+
+
 def test_empty_table(spark):
     assert round_trip(spark, [])[1] == []
 

@@ -1,4 +1,5 @@
 import textwrap
+import time
 
 from compare import assert_same, connect
 from edge_cases import TEXTS, documents, empty
@@ -25,7 +26,7 @@ def test_sequences_and_order_of_rules(spark):
         whole(*bsd, join="\n\n"),
         whole(*bsd[:3], join="\n\n"),
         whole("bsdSource", "bsdBinary"),
-        whole("iscGrant") + "\n\n" + whole("mitAsIs"),
+        whole("iscGrant") + "\n\n" + whole("iscAsIs"),
         "NO END\n" + whole("mitShort") + "\nnext | line " + whole("ccByNcShort") + "\n" + whole("ccByNcShort"),
         whole("apacheShort", "gpl3Short").upper(),
         "Licensed under the Apache License, Version 2.0.1.",
@@ -76,7 +77,102 @@ def test_every_sentence_is_recognised_alone(spark):
     names = list(s.SENTENCES)
     got = s.scan_licenses(documents(spark, [(i, f"A word.\n{s.SENTENCES[n]}\nAnother.") for i, n in enumerate(names)])).collect()
     codes = {r.doc_id: r.codes for r in got}
-    assert len(set(codes.values())) == len(names) and all(len(c) == 1 for c in codes.values())
+    assert len(set(codes.values())) == len(names) and all(len(c.strip('-')) == 2 for c in codes.values())
+
+
+REAL = {
+    # Headers as they stand in files.
+    """Copyright 2021 Example Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+   * Neither the name of Example Inc. nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR
+A PARTICULAR PURPOSE ARE DISCLAIMED.
+""": "BSD-3-Clause",
+    """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+int main() {}
+""": "MPL-2.0",
+    """# Permission to use, copy, modify, and/or distribute this software for any
+# purpose with or without fee is hereby granted, provided that the above
+# copyright notice and this permission notice appear in all copies.
+#
+# THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+# WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+# MERCHANTABILITY AND FITNESS.
+""": "ISC",
+    """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details.
+""": "LGPL-2.1-or-later",
+    """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU Affero General Public License for more details.
+""": "AGPL-3.0-or-later",
+    """// This program is free software; you can redistribute it and/or modify
+// it under the terms of the GNU General Public License version 2 as
+// published by the Free Software Foundation.
+""": "GPL-2.0-only",
+    "# SPDX-License-Identifier: GPL-2.0-only\nx = 1\n": "GPL-2.0-only",
+    "// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main() {}\n": "MIT OR Apache-2.0",
+}
+
+
+def test_real_headers(spark):
+    assert licenses(spark, *REAL) == list(REAL.values())
+
+
+def test_unknown_text_parts_a_sequence(spark):
+    grant, notice = s.SENTENCES["mitGrant"], s.SENTENCES["mitNotice"]
+    texts = [f"{grant}\n\n{notice}", f"{grant}\n\nAnother sentence. {notice}", f"{grant}\n" + "Some words here.\n" * 3000 + notice]
+    assert licenses(spark, *texts) == ["MIT", "", ""]
+    codes = [r.codes for r in s.scan_licenses(documents(spark, list(enumerate(["Words. " + t + " Words." for t in texts])))).orderBy("doc_id").collect()]
+    a, b = (s._catalogue(s.SENTENCES, s.RULES)[0][s.plain(x)] for x in (grant, notice))
+    assert codes == [f"-{a}{b}-", f"-{a}-{b}-", f"-{a}-{b}-"]
+
+
+def test_more_sentences_than_letters(spark):
+    many = {f"n{i}": f"Licence number {i} applies." for i in range(300)}
+    rules = [(f"L-{i}", [f"n{i}"]) for i in range(300)]
+    docs = documents(spark, [(i, f"Words. Licence number {i} applies. Words.") for i in range(0, 300, 37)])
+    got = {r.doc_id: r.licenses for r in s.scan_licenses(docs, sentences=many, rules=rules).collect()}
+    assert got == {i: f"L-{i}" for i in range(0, 300, 37)}
+
+
+def test_long_runs_take_linear_time(spark):
+    texts = [m * 60_000 + "a licence" for m in ("-", "- ", "|", "| ", "\n", ".", ") ", "(a", "1) ")]
+    docs = documents(spark, list(enumerate(texts))).coalesce(1).persist()
+    docs.count()
+    start = time.perf_counter()
+    assert {r.licenses for r in s.scan_licenses(docs).collect()} == {""}
+    assert time.perf_counter() - start < 60
 
 
 def test_edge_rows_equal_the_sql(spark):

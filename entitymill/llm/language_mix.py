@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitymill.llm.common import map_texts, text_blocks
+from entitymill.sources.staging import share_code
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -26,10 +27,15 @@ MOST_LANGUAGES = 100
 #: Result where a text is null or has no letter.
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
 _WORDS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter of some script; numerals such as fractions are none."""
+    return any(m[0].isalpha() for m in _WORD.finditer(text))
+
+
 def gram_buckets(raw: bytes) -> np.ndarray:
     """The bucket of every n-gram of the text; A-Z in lower case, other ASCII as blanks."""
     folded = np.frombuffer(b" " + raw.lower().translate(_WORDS) + b" " * (GRAM - 2), np.uint8)
@@ -44,6 +50,7 @@ def gram_buckets(raw: bytes) -> np.ndarray:
 
 def gram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, bucket, n) over all rows with text and language; summed per block before the shuffle."""
+    share_code(docs.sparkSession)
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.col(f"`{text_col}`").alias("_text"))
     rows = rows.where("_lang is not null and _text is not null")
 
@@ -80,7 +87,7 @@ class Languages:
         A further language must raise the log-likelihood, counted once per ``GRAM``
         overlapping n-grams, by more than ``penalty`` and half the logarithm of the length.
         """
-        if raw is None or not self.names or not _LETTER.search(raw.decode("utf-8", "replace")):
+        if raw is None or not self.names or not has_letter(raw.decode("utf-8", "replace")):
             return []
         counts = np.bincount(gram_buckets(raw), minlength=BUCKETS)
         at = np.flatnonzero(counts)

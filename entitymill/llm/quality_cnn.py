@@ -9,6 +9,8 @@ filter, the window that won, so gradients are sparse.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,13 +67,18 @@ class ByteNet:
         """Per text, mean and maximum over its chunks of the chunks' maxima."""
         flat, counts, ends = chunked(texts)
         best = np.empty((int(counts.sum()), FILTERS), np.float32)
-        for a in range(0, len(best), most):
-            b = min(a + most, len(best))
-            inside = ends[(ends > a * STEP) & (ends <= b * STEP)] - a * STEP
-            z = self.windows(flat[a * STEP : b * STEP + WIDTH - 1], inside)
-            best[a:b] = z.reshape(b - a, STEP, FILTERS).max(axis=1)
+        for a, z in self.blocks(flat, ends, most):
+            best[a : a + len(z)] = z.max(axis=1)
         return _combined(best, counts)
 
+    def blocks(self, flat: np.ndarray, ends: np.ndarray, most: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+        """(first chunk, filter outputs by chunk and window) of runs of ``most`` chunks."""
+        n = int(ends[-1]) // STEP if len(ends) else 0
+        for a in range(0, n, most):
+            b = min(a + most, n)
+            inside = ends[(ends > a * STEP) & (ends <= b * STEP)] - a * STEP
+            yield a, self.windows(flat[a * STEP : b * STEP + WIDTH - 1], inside).reshape(b - a, STEP, FILTERS)
+
     def probabilities(self, pooled: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(pooled.astype(np.float64) @ self.v + self.c)))
 
@@ -118,9 +125,10 @@ def fit(texts: list, labels: np.ndarray, epochs: int = 10, batch: int = 32, rate
 
 def _gradients(net: ByteNet, texts: list, y: np.ndarray) -> dict[str, np.ndarray]:
     flat, counts, ends = chunked(texts)
-    z = net.windows(flat, ends).reshape(-1, STEP, FILTERS)
-    where = z.argmax(axis=1)
-    best = np.take_along_axis(z, where[:, None], axis=1)[:, 0]
+    best, where = np.empty((int(counts.sum()), FILTERS), np.float32), np.empty((int(counts.sum()), FILTERS), np.int64)
+    for a, z in net.blocks(flat, ends):
+        won = z.argmax(axis=1)
+        where[a : a + len(z)], best[a : a + len(z)] = won, np.take_along_axis(z, won[:, None], axis=1)[:, 0]
     pooled = _combined(best, counts)
     error = (net.probabilities(pooled) - y) / len(y)
     text_of = np.repeat(np.arange(len(texts)), counts)
@@ -141,34 +149,34 @@ def _gradients(net: ByteNet, texts: list, y: np.ndarray) -> dict[str, np.ndarray
     return {"w": grad_w, "b": back.sum(axis=0), "v": pooled.T @ error, "c": np.array(error.sum())}
 
 
-def spread_chunks(raw: bytes | None, most: int) -> bytes:
-    """The text, or ``most`` evenly spread chunks of it if it has more."""
-    raw = raw or b""
-    n = -(-len(raw) // STEP)
-    if n <= most:
-        return raw
-    return b"".join(raw[k * STEP : (k + 1) * STEP] for k in np.linspace(0, n - 1, most).astype(int))
-
-
 def fit_labelled(
     docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-    train_rows: int = 4_000, train_chunks: int = 32, folds: int = 5, epochs: int = 10,
+    train_rows: int = 4_000, train_bytes: int = 64_000_000, folds: int = 5, epochs: int = 10,
 ) -> ByteNet:
-    """A net fitted on at most ``train_rows`` labelled rows, chosen by a hash of the id
-    among those whose crc32(id) modulo ``folds`` is not 0, with at most ``train_chunks``
-    chunks of each. That bounds what reaches the driver; scoring has no such bound."""
+    """A net fitted on whole texts of at most ``train_rows`` labelled rows, chosen by a hash of
+    the id among those whose crc32(id) modulo ``folds`` is not 0, and as many of them as
+    ``train_bytes`` hold. That bounds what reaches the driver; scoring has no such bound."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
     known = known.where("_id is not null and _y is not null")
     known = known.where(F.crc32(F.col("_id").cast("string")) % folds != 0)
     some = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(train_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
-
-    def work():
-        return lambda texts: {"_part": pa.array([spread_chunks(t, train_chunks) for t in texts], pa.binary())}
-
-    parts = map_texts(rows, "_text", ["_id", "_y"], "_part binary", work)
-    sample = parts.orderBy(F.xxhash64("_id"), "_id", "_y", "_part").limit(train_rows).collect()
-    return fit([bytes(r["_part"]) for r in sample], np.array([r["_y"] for r in sample], float), epochs=epochs)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text")).join(F.broadcast(some), "_id")
+    order = [F.xxhash64("_id"), "_id", "_y"]
+    sizes = rows.select("_id", "_y", F.octet_length("_text").alias("_size")).orderBy(*order, "_size").limit(train_rows).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["_size"]
+        if total > train_bytes:
+            break
+        last = r
+    if last is None:
+        return fit([], np.zeros(0), epochs=epochs)
+    # All rows up to the last id that fits; copies of it come along as far as they fit.
+    own = F.lit(last["_id"]).cast(rows.schema["_id"].dataType)
+    upto = F.struct(F.xxhash64("_id"), "_id", "_y") <= F.struct(F.xxhash64(own), own, F.lit(last["_y"]))
+    sample = rows.where(upto).orderBy(*order, F.octet_length("_text"), "_text").limit(sizes.index(last) + 1).collect()
+    return fit([bytes(r["_text"]) for r in sample], np.array([r["_y"] for r in sample], float), epochs=epochs)
 
 
 def scored(docs: DataFrame, net: ByteNet, keep, text_col: str = "text", score: str = "score") -> DataFrame:

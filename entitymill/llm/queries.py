@@ -74,7 +74,7 @@ from p left join f on p.payload_digest = f.payload_digest
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "archives")
     warc.write_archives(warc.page_records(table(spark, sf_dir, "pages")), path)
-    read = warc.read_archives(spark, path)
+    read = warc.read_archives(spark, path, whole=True)
     return read.select(
         F.col("page").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to"
     )

@@ -1,4 +1,8 @@
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -46,6 +50,76 @@ def test_mixtures(spark):
     assert [n for n, _ in languages.mixture((by["es"] * 3).encode())] == ["es"]
 
 
+def plain_mixture(languages, text, penalty):
+    """EM and the choice of languages, one n-gram after the other."""
+    if text is None or not any(c.isalpha() for c in text):
+        return []
+    grams = lm.gram_buckets(text.encode()).tolist()
+    chance = languages.chance.tolist()
+
+    def em(some):
+        share = [1 / len(some)] * len(some)
+        for _ in range(40):
+            new = [0.0] * len(some)
+            for g in grams:
+                mixed = sum(s * chance[k][g] for s, k in zip(share, some))
+                for i, k in enumerate(some):
+                    new[i] += share[i] * chance[k][g] / mixed / len(grams)
+            done = max(abs(a - b) for a, b in zip(new, share)) < 1e-3
+            share = new
+            if done:
+                break
+        return share, sum(np.log(sum(s * chance[k][g] for s, k in zip(share, some))) for g in grams)
+
+    share, _ = em(range(len(chance)))
+    order = sorted(range(len(chance)), key=lambda k: -share[k])
+    found = (order[:1], [1.0], sum(np.log(chance[order[0]][g]) for g in grams) / lm.GRAM)
+    for k in range(2, len(order) + 1):
+        share, value = em(order[:k])
+        value = value / lm.GRAM - (k - 1) * (penalty + 0.5 * np.log(len(grams)))
+        if value <= found[2]:
+            break
+        found = (order[:k], share, value)
+    return sorted(((languages.names[k], s) for k, s in zip(found[0], found[1])), key=lambda x: -x[1])
+
+
+def test_mixtures_equal_a_plain_version(spark):
+    docs = folder_docs(spark)
+    languages = lm.learn(docs)
+    texts = [r.text[:300] for r in docs.where("text is not null").orderBy("doc_id").limit(25).collect()]
+    texts += [a + " " + b for a, b in zip(texts[::2], texts[1::2])] + ["a", "½ ½", "② ③", "Ⅷ 12", "", None, "ß"]
+    for text in texts:
+        for penalty in (6.0, 0.5):
+            got = languages.mixture(None if text is None else text.encode(), penalty)
+            want = plain_mixture(languages, text, penalty)
+            assert [n for n, _ in got] == [n for n, _ in want], text
+            assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-6)
+
+
+def test_numerals_are_no_letters(spark):
+    languages = lm.learn(folder_docs(spark))
+    rows = [(1, "½ ½ ½"), (2, "② ③"), (3, "Ⅷ 12"), (4, "½ sea and ships")]
+    got = {r.doc_id: r.lang_pred for r in lm.identify(documents(spark, rows), languages).collect()}
+    assert [got[i] for i in (1, 2, 3)] == ["und"] * 3 and got[4] == "en"
+
+
+def test_first_query_of_a_process(tmp_path):
+    """Workers that don't have the package on their path get it from the driver."""
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "import __spark_entry__ as c\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "print('rows', c.queries()['op8_language_mixture'](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    script = tmp_path / "first.py"
+    script.write_text(code)
+    root = str(Path(__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script), root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 200" in out.stdout, out.stderr[-2000:]
+
+
 def test_edge_rows(spark):
     languages = lm.learn(folder_docs(spark))
     got = lm.identify(documents(spark, clashes=["kept", "fp"]), languages).collect()

@@ -76,11 +76,26 @@ def test_gradients():
         assert slope("w", at, 1e-3) == pytest.approx(grads["w"][at], rel=0.1, abs=2e-3)
 
 
-def test_spread_chunks():
-    assert cnn.spread_chunks(None, 4) == b""
-    assert cnn.spread_chunks(b"abc", 4) == b"abc"
-    raw = bytes(k // cnn.STEP for k in range(cnn.STEP * 100))
-    assert [part[0] for part in (cnn.spread_chunks(raw, 4)[k * cnn.STEP :][:1] for k in range(4))] == [0, 33, 66, 99]
+def test_whole_texts_are_learned_from(spark, monkeypatch):
+    """As many rows as the bounds hold, each with all of its text; a row too large ends the sample."""
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, [(i, chr(97 + i % 26) * (40_000 if i == 7 else 10 + i)) for i in range(60)])
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    seen = []
+    monkeypatch.setattr(cnn, "fit", lambda texts, y, epochs: seen.append((texts, y.tolist())))
+    cnn.fit_labelled(docs, labels)
+    learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    texts, y = seen[-1]
+    assert sorted(texts) == sorted((chr(97 + i % 26) * (40_000 if i == 7 else 10 + i)).encode() for i in learned)
+    assert y == [1 if len(t) == 40_000 else len(t) % 2 for t in texts]
+    cnn.fit_labelled(docs, labels, train_rows=12)
+    assert seen[-1][0] == texts[:12]
+    cnn.fit_labelled(docs, labels, train_bytes=500)
+    some = seen[-1][0]
+    assert some == texts[: len(some)] and sum(map(len, some)) <= 500 < sum(map(len, texts[: len(some) + 1]))
+    cnn.fit_labelled(docs, labels, train_bytes=5)
+    assert seen[-1][0] == []
 
 
 @pytest.mark.parametrize("y", [[], [1.0, 1.0], [0.0]])

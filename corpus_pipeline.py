@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitymill.llm import exact_dedup, packing, quality_cnn, secrets, simhash
-from entitymill.llm.common import free_name, written
+from entitymill.llm.common import cleared, free_name, scratch, written
 from entitymill.session import ensure_shared_dir
+from entitymill.sources.staging import remove
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``, each written and read again."""
+    """All stages on the documents of ``sf_dir``, each written and read again.
+
+    What a stage wrote on its way is deleted with its end, and its result once the next is written.
+    """
     ensure_shared_dir(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        path = scratch(spark, f"pipeline-{name.replace(' ', '-')}")
+        with cleared(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

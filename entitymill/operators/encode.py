@@ -15,6 +15,8 @@ from entitymill.functions.scalar import named, sql_name, sql_value
 from entitymill.operators.ordered import prefix_sums
 from entitymill.sources.staging import cut_lineage, share_code, written
 
+#: Categories of all columns together that may become columns.
+MOST_CATEGORIES = 100_000
 # Stands for the indicator of a missing category; its column ends in ``_nan``.
 MISSING = type("Missing", (), {"__repr__": lambda self: "MISSING"})()
 
@@ -41,13 +43,13 @@ def find_categories(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     missing: bool = True,
-    max_categories: int | None = None,
+    max_categories: int = MOST_CATEGORIES,
 ) -> dict[str, list]:
     """Sorted categories of each string column, from one distributed pass.
 
     With ``missing`` every column also gets the missing indicator, whether or
     not a value is missing. Every category becomes a column, so the driver holds
-    them all; a caller may name a number beyond which that is an error.
+    them all; more than ``max_categories`` are an error, and work for ``sparse_one_hot``.
     """
     columns = string_columns(df) if columns is None else list(columns)
     found: dict[str, list] = {c: [] for c in columns}
@@ -56,19 +58,21 @@ def find_categories(
             *[F.struct(F.lit(c).alias("column"), named(c).alias("value")) for c in columns]
         )
         distinct = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
-        if max_categories is not None:
-            distinct = distinct.limit(max_categories + 1)
-        rows = distinct.collect()
-        if max_categories is not None and len(rows) > max_categories:
-            raise ValueError(
-                f"more than {max_categories} categories in {columns}; drop or group the "
-                "high-cardinality column, or pass max_categories"
-            )
-        for row in rows:
+        for row in _bounded(distinct, columns, max_categories):
             found[row["column"]].append(row["value"])
     return {c: sorted(v) + ([MISSING] if missing else []) for c, v in found.items()}
 
 
+def _bounded(categories: DataFrame, columns: Sequence[str], most: int) -> list:
+    rows = categories.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(
+            f"more than {most} categories in {list(columns)}; drop or group the high-cardinality "
+            "column, take sparse_one_hot, or pass max_categories"
+        )
+    return rows
+
+
 def one_hot(
     df: DataFrame,
     missing: bool = True,
@@ -106,7 +110,8 @@ def first_seen(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -
 def categories_of(firsts: DataFrame, columns: Sequence[str], missing: bool = True) -> dict[str, list]:
     """``find_categories`` from what ``first_seen`` found."""
     found: dict[str, list] = {c: [] for c in columns}
-    for row in firsts.filter(F.col("column").isin(list(columns))).select("column", "value").collect():
+    values = firsts.filter(F.col("column").isin(list(columns))).select("column", "value")
+    for row in _bounded(values, columns, MOST_CATEGORIES):
         found[row["column"]].append(row["value"])
     return {c: sorted(v) + ([MISSING] if missing else []) for c, v in found.items()}
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from entitymill.operators import aggregate as ag
 from entitymill.operators import attach as at
-from entitymill.operators.encode import MISSING, factorize, find_categories, one_hot
+from entitymill.operators.encode import MISSING, factorize, find_categories, one_hot, sparse_one_hot
 from entitymill.operators.momentum import Momentum, momentum, row_changes
-from entitymill.operators.ordered import group_quantiles
+from entitymill.operators.ordered import group_quantiles, prefix_sums
 from entitymill.operators.select import correlation_pairs, missing_columns, select_features
 from entitymill.queries import sqltext as sql
 from entitymill.queries.base import SQL, cte, frame, query, stable, stable_columns, stable_sql
@@ -596,6 +596,19 @@ def _(t):
     return src.read_csv(t.spark, path)
 
 
+@query(
+    "p17_file_order",
+    "select c_custkey as id, cast(row_number() over (order by c_acctbal desc, c_custkey) - 1 as bigint) as place from customer",
+)
+def _(t):
+    """Rows numbered in the order of the CSV files that they were written to."""
+    path = t.scratch("p17")
+    rows = t.customer.select("c_custkey", "c_acctbal")
+    src.write_csv(rows.repartitionByRange(4, F.desc("c_acctbal"), "c_custkey").sortWithinPartitions(F.desc("c_acctbal"), "c_custkey"), path)
+    read = src.read_csv(t.spark, path, file_order=True)
+    return prefix_sums(read, [], [src.FILE_ORDER], {"place": F.lit(1)}).select(F.col("c_custkey").alias("id"), F.col("place").cast("long").alias("place"))
+
+
 @query(
     "s2_head_rows",
     "select o_orderkey, o_totalprice from orders order by o_orderdate, o_orderkey limit 500",
@@ -675,3 +688,22 @@ def _(t):
     path = t.scratch("s9")
     select_features(frame(t.lineitem, WIDE), 0.75, 0.9).write.parquet(path)
     return stable(src.read_parquet(t.spark, path, ["qty", "tax"]))
+
+
+SEGMENT = "case when c_custkey % 7 = 0 then null else c_mktsegment end"
+
+
+@query(
+    "e1_sparse_one_hot",
+    "with r as (select c_custkey as id, s, c_name, dense_rank() over (order by s nulls last) - 1 as a,"
+    f" dense_rank() over (order by c_name) - 1 as b from (select *, {SEGMENT} as s from customer) c),"
+    " n as (select count(distinct s) as segments, count(distinct c_name) as names from r)"
+    " select id, cast(a as int) as segment_at, cast(segments + 1 + b as int) as name_at, cast(segments + names + 2 as int) as size from r, n",
+)
+def _(t):
+    """A column of few and one of very many categories as positions of one sparse vector."""
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.expr(SEGMENT).alias("segment"), F.col("c_name").alias("name"))
+    vectors, _ = sparse_one_hot(rows, ["segment", "name"])
+    parts = F.unwrap_udt("categories")
+    places = parts.getField("indices")
+    return vectors.select("id", places[0].alias("segment_at"), places[1].alias("name_at"), parts.getField("size").alias("size"))

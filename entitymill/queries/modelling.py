@@ -438,6 +438,31 @@ def _first_tree(name: str, settings: boosting.Settings):
         return stable(t.spark.createDataFrame(rows, schema))
 
 
+# Every third label is turned over, so more rounds soon learn what doesn't hold for other rows.
+NOISY = {**GROWN, "target": f"case when o_orderkey % 3 = 0 then 1 - ({GROWN['target']}) else {GROWN['target']} end"}
+IMPATIENT = boosting.Settings(rounds=60, rate=0.5, max_leaves=31, min_rows=5, patience=4, seed=3)
+
+
+@query(
+    "ml2_patience",
+    "select fold, true as ended_early, true as waited, true as kept_best, true as traced from (select unnest([0, 1, 2])::int as fold) f",
+)
+def _(t):
+    """Fits that their patience ends: so many rounds after the best one, which is kept."""
+    rows = frame(t.orders, NOISY)
+    table = boosting.bin_table(rows, "id", "target", GROWN_FEATURES, folds=rows.selectExpr("id", "cast(id % 3 as int) as fold"))
+    models = boosting.fit(table, [IMPATIENT] * 3, range(3), both_parts=True)
+    boosting.keep_best(models)
+    found = []
+    for m in models:
+        valid = {r: auc for r, part, auc, _ in m.trace if part == "valid"}
+        train = {r: auc for r, part, auc, _ in m.trace if part == "train"}
+        last, best = max(valid), max(valid, key=lambda r: (valid[r], -r))
+        waited = IMPATIENT.patience <= last - best < IMPATIENT.patience + boosting.LOOK
+        found.append((m.fold, last < IMPATIENT.rounds, waited, len(m.trees) == best, train[last] > train[1]))
+    return t.spark.createDataFrame(found, "fold int, ended_early boolean, waited boolean, kept_best boolean, traced boolean")
+
+
 _first_tree("ml2_first_tree", LEAF_WISE_TREE)
 _first_tree("ml3_first_tree", DEPTH_WISE_TREE)
 

@@ -415,7 +415,7 @@ def _tree_sql(s: boosting.Settings) -> str:
 
     rows = [inner("n", ""), inner("nl", "L"), inner("nr", "R"), leaf("nl", "L", "nl"), leaf("nr", "R", "nr")]
     rows += [leaf(f"n{path.lower()}", path, None) for path in ("LL", "LR", "RL", "RR")]
-    columns = ", ".join(["path", "feature", f"{stable_sql('cut')} as cut", "missing_left", f"{stable_sql('gain')} as gain", f"{stable_sql('value')} as value"])
+    columns = ", ".join(["path", "feature", f"{stable_sql('cut')} as cut", "case when missing_left then 'left' when not missing_left then 'right' end as missing_to", f"{stable_sql('gain')} as gain", f"{stable_sql('value')} as value"])
     text = (
         f"with d as materialized (select * from ({cte('orders', GROWN)}) x where target is not null),"
         f" p as (select {start} as p from (select avg(target) as q from d) z),"
@@ -433,14 +433,15 @@ def _first_tree(name: str, settings: boosting.Settings):
         table = boosting.bin_table(frame(t.orders, GROWN), "id", "target", GROWN_FEATURES)
         model = boosting.fit(table, [settings], [None])[0]
         rows = boosting.tree_table(table, model, 0)
-        rows = [(r["path"], r["feature"], r["cut"], r["missing_left"], r["gain"], None if r["feature"] else r["value"]) for r in rows]
-        schema = "path string, feature string, cut double, missing_left boolean, gain double, value double"
+        side = {True: "left", False: "right", None: None}
+        rows = [(r["path"], r["feature"], r["cut"], side[r["missing_left"]], r["gain"], None if r["feature"] else r["value"]) for r in rows]
+        schema = "path string, feature string, cut double, missing_to string, gain double, value double"
         return stable(t.spark.createDataFrame(rows, schema))
 
 
 # Every third label is turned over, so more rounds soon learn what doesn't hold for other rows.
 NOISY = {**GROWN, "target": f"case when o_orderkey % 3 = 0 then 1 - ({GROWN['target']}) else {GROWN['target']} end"}
-IMPATIENT = boosting.Settings(rounds=60, rate=0.5, max_leaves=31, min_rows=5, patience=4, seed=3)
+IMPATIENT = boosting.Settings(rounds=40, rate=1.0, max_leaves=12, max_depth=4, min_rows=5, patience=2, seed=3)
 
 
 @query(

@@ -8,7 +8,7 @@ from entitymill.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 # Their own tests train models, and r8 is part of r9.
-SLOW = {"ml2_leaf_wise_gbt", "ml3_depth_wise_gbt", "ml4_random_forest", "ml5_dense_net",
+SLOW = {"ml2_leaf_wise_gbt", "ml2_patience", "ml5_published_net", "ml7_published_search", "ml3_depth_wise_gbt", "ml4_random_forest", "ml5_dense_net",
         "ml7_search", "ml8_score_trace", "ml9_importances", "r8_cross_table"}
 
 

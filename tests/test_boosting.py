@@ -273,3 +273,62 @@ def test_summaries_bound_ranks():
         assert low <= weights[values < v].sum() + 1e-9 and high >= weights[values <= v].sum() - 1e-9
     assert not total.exact() and total.total == pytest.approx(weights.sum())
     assert Summary.parse(total.raw()).values.tolist() == total.values.tolist()
+
+
+# ---- trees and state in blocks -------------------------------------------------
+
+
+@pytest.mark.parametrize("inner", [0, 1, 40, 300])
+def test_leaves_equal_a_walk(inner):
+    """Small trees compare all rows at each node, large ones follow the rows; both end where a walk does."""
+    rng = np.random.default_rng(inner)
+    n = 2 * inner + 1
+    tree = bo.Tree(np.full(n, -1), rng.integers(1, 6, n), rng.random(n) < 0.5, np.zeros(n, int), np.zeros(n, int), rng.random(n), np.zeros(n))
+    leaves, free = [0], 1
+    for _ in range(inner):
+        i = leaves.pop(rng.integers(len(leaves)))
+        tree.feature[i], tree.left[i], tree.right[i] = rng.integers(3), free, free + 1
+        leaves += [free, free + 1]
+        free += 2
+    codes = rng.integers(0, 7, (500, 3)).astype(np.uint8)
+    found = tree.leaves(codes)
+    assert (found == tree.leaves(np.asfortranarray(codes))).all() and (found.dtype == np.uint8) == (n <= 256)
+    for row, at in zip(codes, found, strict=True):
+        i = 0
+        while tree.feature[i] >= 0:
+            c = row[tree.feature[i]]
+            i = tree.left[i] if (tree.missing_left[i] if c == 0 else c <= tree.cut[i]) else tree.right[i]
+        assert i == at
+
+
+def test_state_holds_blocks_of_rows(spark, rows, monkeypatch):
+    t = table(spark, rows)
+    s = replace(CASES["leaf_wise"], rounds=2, max_leaves=4)
+    labelled = t.rows.where("label IS NOT NULL").select("key", "label", "fold", "bins")
+    partitions = labelled.rdd.getNumPartitions()
+    trainer = bo._Trainer(t, labelled, [bo.Model(s, 0, 0.0), bo.Model(s, None, 0.0)], False)
+    assert trainer.state.count() <= partitions
+    trainer._drop(trainer.state, trainer.path)
+    whole = bo.fit(t, [s, s], [0, None], both_parts=True)
+    monkeypatch.setattr(bo, "STATE_BYTES", 2_000)
+    small = bo.fit(t, [s, s], [0, None], both_parts=True)
+    for a, b in zip(whole, small, strict=True):
+        assert all(np.array_equal(x.feature, y.feature) and np.array_equal(x.value, y.value) for x, y in zip(a.trees, b.trees, strict=True))
+        assert np.allclose([x[2:] for x in a.trace if x[2]], [x[2:] for x in b.trace if x[2]])
+
+
+def test_rows_by_score_equal_rows_one_by_one():
+    rng = np.random.default_rng(8)
+    codes, margins = rng.integers(0, 4, (300, 2)).astype(np.uint8), rng.choice([0.5, -1.0, 2.0], 300)
+    valid, positive = rng.random(300) < 0.4, rng.random(300) < 0.5
+    stump = lambda f, c: bo.Tree(np.array([f, -1, -1]), np.array([c, 0, 0]), np.zeros(3, bool), np.array([1, 0, 0]), np.array([2, 0, 0]), np.array([0, 0.25, -0.5]), np.zeros(3))
+    trees, m = [stump(0, 1), stump(1, 2), stump(0, 3)], margins
+    for tree, (part, score, pos, neg) in zip(trees, bo._by_score(margins, codes, trees, valid, positive), strict=True):
+        m = tree.add_to(m, codes)
+        want, got = {}, {}
+        for p, x, y in zip(valid, m, positive, strict=True):
+            want.setdefault((p, x), [0, 0])[0 if y else 1] += 1
+        for p, x, a, b in zip(part, score, pos, neg, strict=True):
+            both = got.setdefault((p, x), [0, 0])
+            both[0], both[1] = both[0] + a, both[1] + b
+        assert got == want

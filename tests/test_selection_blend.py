@@ -6,6 +6,7 @@ import pytest
 from test_ordered import brute_auc
 
 from entitymill.operators import blend as bl
+from entitymill.operators.metrics import roc_auc_value
 from entitymill.operators.attach import append_unlabelled, top_features
 from entitymill.operators.select import (
     correlated_columns,
@@ -299,3 +300,26 @@ def test_a_million_categories_reach_the_matrix(spark):
     places = matrix.select(F.unwrap_udt("features").getField("indices")[1].alias("at"))
     assert places.distinct().count() == 1_000_000
     assert len(str(matrix.schema["features"].metadata)) < 1000
+
+
+def test_mixes_are_rated_alike_in_one_span_and_in_many(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    n = 4000
+    a, b = rng.random(n).round(3), rng.random(n).round(1)
+    rows = [(float(y), float(p), float(q)) for y, p, q in zip(rng.integers(0, 2, n), a, b, strict=True)]
+    df = spark.createDataFrame(rows, "y double, a double, b double").repartition(5)
+    ranks = bl.rank_table(df, "y", ["a", "b"])
+    mixes = [bl.Mix((w, 1 - w), (0.0, 0.1), (0.95, 1.0), 0.02, 0.9) for w in (0.0, 0.3, 1.0)]
+    whole = {r.mix: r.auc for r in bl.rate_mixes(ranks, mixes).collect()}
+    monkeypatch.setattr(bl, "SPAN_ROWS", 300)
+    monkeypatch.setattr(bl, "SPAN_SAMPLE", 200)
+    monkeypatch.setattr(bl, "MIXED_AT_ONCE", 100)
+    cut = bl.rate_mixes(ranks, mixes)
+    # The scores move as packed spans, once, and not as a row for each mix and score.
+    plan = cut._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "rangepartitioning" not in plan
+    cut = {r.mix: r.auc for r in cut.collect()}
+    for i, m in enumerate(mixes):
+        want = roc_auc_value(bl.apply_mix(df, ["a", "b"], m, "s"), "y", "s")
+        assert whole[i] == pytest.approx(want, abs=1e-12) and cut[i] == pytest.approx(want, abs=1e-12)
+    assert bl.rate_mixes(ranks.where("m0 < 0"), mixes).collect() == []

@@ -139,3 +139,22 @@ def test_subsets_share_one_scan(tables):
     plan = plan_of(entity_agg(tables["bureau"], "SK_ID_CURR", spec, "B_", subsets))
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
     assert "o_orderpriority" in plan and "o_shippriority" not in plan
+
+
+def test_row_level_ratios_are_neither_shuffled_nor_written(tables, monkeypatch):
+    from entitymill.operators import momentum as mo
+
+    seen, chunked = [], mo.chunk_by_order
+    monkeypatch.setattr(mo, "chunk_by_order", lambda df, *more: seen.append(df.columns) or chunked(df, *more))
+    out = h.card_features(tables["credit_card"], derived.ORDERS["credit_card"])
+    h.instalment_features(tables["instalments"], derived.ORDERS["instalments"])
+    assert "CC_BALANCE_TO_LIMIT_RATIO_VAR" in out.columns
+    assert len(seen) == 2 and not {*h.CARD_RATIOS, *h.instalment_derived()}.intersection(*map(set, [sum(seen, [])]))
+
+
+def test_derived_columns_may_order_records(spark):
+    rows = [(1, 1, 5.0), (1, 2, 3.0), (1, 3, 9.0)]
+    df = spark.createDataFrame(rows, "k long, a long, x double")
+    m = Momentum(["x"], "a", ["back"])
+    out = entity_features(df, "k", {"back": ["max"]}, m, derived={"back": -F.col("a")}).first()
+    assert (out["back_MAX"], out["x_DIFF_MEAN"]) == (-1, -2.0)

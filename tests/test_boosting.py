@@ -332,3 +332,45 @@ def test_rows_by_score_equal_rows_one_by_one():
             both = got.setdefault((p, x), [0, 0])
             both[0], both[1] = both[0] + a, both[1] + b
         assert got == want
+
+
+def test_spark_never_gets_large_values(spark, monkeypatch):
+    """Blocks of the state are small, and hold margins of fits with many trees only; a histogram row has one feature."""
+    monkeypatch.setattr(bo, "LOOK", 3)
+    n, folds = 8000, 12
+    df = spark.range(n).selectExpr("id", "cast(id % 7 < 3 as double) as label", "cast(id % 12 as int) as fold", "cast(id % 101 as double) as a", "cast(id % 13 as double) as b").coalesce(1)
+    t = bo.bin_table(df, "id", "label", ["a", "b"], folds=df.select("id", "fold"))
+    s = replace(CASES["leaf_wise"], rounds=bo.LOOK + 3, max_leaves=4)
+    labelled = t.rows.where("label IS NOT NULL").select("key", "label", "fold", "bins")
+    trainer = bo._Trainer(t, labelled, [bo.Model(s, k, 0.0) for k in range(folds)], False)
+    columns = ["key", "label", "fold", "bins", "margins"]
+    sizes = trainer.state.select(*[F.length(c).alias(c) for c in columns]).toPandas()
+    assert sizes.key.sum() == 8 * n and sizes.margins.sum() == 0
+    assert sizes.sum(axis=1).max() <= bo.STATE_BYTES
+    seen = []
+    packed = bo._Query.packed
+    monkeypatch.setattr(bo._Query, "packed", lambda q: seen.append(q.start) or packed(q))
+    kept = trainer._kept
+    monkeypatch.setattr(trainer, "_kept", lambda rows: seen.append(rows.agg(F.sum(F.length("margins")), F.max(F.length("margins"))).first()) or kept(rows))
+    trainer.run(None)
+    written = [x for x in seen if isinstance(x[0], int)]
+    assert len(written) == 1 and written[0][0] == 8 * n * folds and written[0][1] <= bo.STATE_BYTES
+    assert {x[1] for x in seen[: seen.index(written[0])]} == {None} and {x[1] for x in seen[seen.index(written[0]) + 1 :]} == set(range(folds))
+    # Fits that go on from many trees start with margins, those from a few without; both as if they had never ended.
+    monkeypatch.undo()
+    monkeypatch.setattr(bo, "LOOK", 3)
+    whole = bo.fit(t, [s], [0])[0]
+    for first in (2, bo.LOOK + 1):
+        begun = bo.fit(t, [s], [0], rounds=first)
+        on = bo.fit(t, [], [], models=begun)[0]
+        assert all(np.array_equal(x.feature, y.feature) and np.array_equal(x.value, y.value) for x, y in zip(on.trees, whole.trees, strict=True))
+        assert [x[2:] for x in on.trace] == [pytest.approx(x[2:]) for x in whole.trace]
+
+
+def test_blocks_of_features_give_the_same_trees(spark, rows, monkeypatch):
+    t = table(spark, rows)
+    s = replace(CASES["leaf_wise"], rounds=2, by_level=0.6)
+    whole = bo.fit(t, [s], [0])[0]
+    monkeypatch.setattr(bo, "BLOCK", 2)
+    for x, y in zip(whole.trees, bo.fit(t, [s], [0])[0].trees, strict=True):
+        assert np.array_equal(x.feature, y.feature) and np.array_equal(x.cut, y.cut) and np.array_equal(x.value, y.value)

@@ -117,3 +117,62 @@ def test_bucketed_stages_join_without_an_exchange(spark, tmp_path):
             spark.sql(f"DROP TABLE {t}")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", n)
+
+
+def test_staged_deletes_what_was_written_on_the_way(spark, tmp_path):
+    """Tables and shuffles of a build go with its end, those of a build beside it stay; so does what was written outside."""
+    import threading
+    from pathlib import Path
+
+    before = spark.conf.get(staging.CLEANUP)
+    folders, turn, other_done = {}, threading.Event(), threading.Event()
+
+    def build(i):
+        def rows():
+            made = staging.written(spark.range(1000).repartition(3))
+            folders[i] = Path(made.inputFiles()[0].removeprefix("file:")).parent
+            assert spark.conf.get(staging.CLEANUP) == "true"
+            if i == "slow":
+                turn.set()
+                assert other_done.wait(60) and spark.conf.get(staging.CLEANUP) == "true"
+            if i == "broken":
+                raise ValueError("no rows")
+            return made.groupBy((F.col("id") % 7).alias("id")).count()
+
+        return rows
+
+    outside = staging.written(spark.range(5))
+    slow = []
+    beside = threading.Thread(target=lambda: slow.append(staging.staged(build("slow"), str(tmp_path / "slow"), spark)))
+    beside.start()
+    assert turn.wait(60)
+    quick = staging.staged(build("quick"), str(tmp_path / "quick"), spark, key="id")
+    assert folders["slow"].exists() and not folders["quick"].exists()
+    other_done.set()
+    beside.join()
+    with pytest.raises(ValueError, match="no rows"):
+        staging.staged(build("broken"), str(tmp_path / "broken"), spark)
+    assert not any(f.exists() for f in folders.values()) and spark.conf.get(staging.CLEANUP) == before
+    assert quick.count() == slow[0].count() == 7 and outside.count() == 5
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("staged_")]
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    import time
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString(" ").split() if "shuffle_" in f}
+    before, left = files(), set()
+
+    def build():
+        df = staging.written(spark.range(5000).repartitionByRange(3, "id"))
+        for _ in range(50):
+            left.clear()
+            left.update(files() - before)
+            if not left:
+                break
+            time.sleep(0.2)
+        return df
+
+    assert staging.staged(build, str(tmp_path / "t"), spark, key="id").count() == 5000
+    assert not left
